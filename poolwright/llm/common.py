@@ -98,3 +98,11 @@ def batch_rows(spark: SparkSession, rows: int) -> None:
 def text_rows(docs: DataFrame, *more: str) -> DataFrame:
     """The columns an operator needs, so that others never leave the scan."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *more)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop the shuffle files of plans that nothing refers to any more."""
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

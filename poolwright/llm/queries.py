@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, packing, token_files
+from . import mixing, packing, quality_lines, substring_dedup, token_files
 from .common import read_table
 
 
@@ -14,6 +14,11 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup.remove_repeats(read_table(spark, sf_dir, "documents"), window=13)
+    return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read_table(spark, sf_dir, "documents"))
 
@@ -22,9 +27,19 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_documents(read_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), end_id=2, capacity=1024)
 
 
+def op9_quality_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_lines.line_quality(read_table(spark, sf_dir, "documents"), host="source")
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_file_index(read_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"), end_id=1)
 
 
-QUERIES = {"op7_mixing": op7_mixing, "op8_packing": op8_packing, "op10_token_files": op10_token_files}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {
+    "op4_substring_dedup": op4_substring_dedup,
+    "op7_mixing": op7_mixing,
+    "op8_packing": op8_packing,
+    "op9_quality_lines": op9_quality_lines,
+    "op10_token_files": op10_token_files,
+}
+ORACLE_SQL: dict[str, str] = {"op9_quality_lines": quality_lines.ORACLE}
