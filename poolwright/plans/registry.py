@@ -2,5 +2,10 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from . import effect_queries, match_queries, pool_queries, record_queries, text_queries
+from .base import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
+
+for _module in (effect_queries, pool_queries, record_queries, match_queries, text_queries):
+    assert _module.__name__.startswith("poolwright.")

@@ -1,12 +1,14 @@
-"""Session helpers."""
+"""Session helpers: shipping the package, the shared folder, cutting lineage."""
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED = "_poolwright_shipped"
 
@@ -24,3 +26,38 @@ def ship(spark: SparkSession) -> SparkSession:
         context.addPyFile(str(target))
         setattr(context, _SHIPPED, True)
     return spark
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir of the session.
+
+    Only where the session names none (local runs, tests) a temporary folder is made and set.
+    """
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        at = spark.sparkContext.getCheckpointDir()
+    if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        at = "file://" + tempfile.mkdtemp(prefix="poolwright-")
+        spark.sparkContext.setCheckpointDir(at)
+    return at.rstrip("/")
+
+
+def fresh_path(spark: SparkSession, label: str) -> str:
+    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """Cut the lineage: write to the shared folder, read back."""
+    spark = df.sparkSession
+    path = fresh_path(spark, label)
+    schema = df.schema
+    df.write.parquet(path)
+    return spark.read.schema(schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop the shuffle files of plans that nothing refers to any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
