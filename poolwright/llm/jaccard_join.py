@@ -12,11 +12,11 @@ shingles is equal by copying and hardly ever by chance, however frequent single
 All nodes under a key go to the block of the key's smallest node.
 
 Search. A block is searched for sets that share T shingles, T being the overlap that the threshold
-asks for: first its members against the block's own node. Blocks where some member did not reach
-it are cut into chunks of bounded size, and every pair of chunks that has such a member is
-searched: the shingles' inverted lists are sorted by length, the short ones are merged, and the
-candidates that reach T less the number of long lists are looked up in the long ones by binary
-search (DivideSkip). Nothing is capped, and a pair that two other links connect need not be listed.
+asks for: first its members against the block's own node, which ties most of them into components.
+Blocks with members outside the own node's component are cut into chunks of bounded size, and every
+pair of chunks that has such a member is searched: the shingles' short inverted lists are merged,
+and candidates that reach T less the number of long lists are looked up in the long ones by binary
+search (DivideSkip). Nothing is capped; a pair that other links connect already is not listed.
 """
 
 from __future__ import annotations
@@ -30,8 +30,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from poolwright.operators.graph import connected_components
+
 from .common import batch_rows, encoded, gram_hashes, mix, release, text_rows, word_hashes, written
-from .components import connected_components
 
 _PART = np.uint64(0xA24BAED4963EE407)
 _SIZE = np.uint64(0x9FB21C651E98DF25)
@@ -107,42 +108,48 @@ def node_of(s: np.ndarray) -> int:
     return int(mix(np.uint64([x])).view(np.int64)[0])
 
 
-def divide_skip(index: list[np.ndarray], queries: list[np.ndarray], percent: int, probe_cost: float = 8.0) -> list[list[int]]:
-    """For each query set, the indexed sets that it links with (T-occurrence search)."""
+def divide_skip(index: list[np.ndarray], queries: list[np.ndarray], percent: int, long_list: int = 4096) -> list[np.ndarray]:
+    """For each query set, the indexed sets that it links with (T-occurrence search).
+
+    A list counts as long over `long_list` entries: about what one binary-search call costs when lists
+    are merged by counting. At most T - 1 lists are long, so every answer occurs in a short one.
+    """
     sizes = np.array([len(s) for s in index], np.int64)
     if not len(index):
-        return [[] for _ in queries]
+        return [np.empty(0, np.int64) for _ in queries]
     tokens = np.concatenate(index)
     owners = np.repeat(np.arange(len(index)), sizes)
     order = np.argsort(tokens, kind="stable")
     tokens, owners = tokens[order], owners[order]  # an inverted list is a run, ascending by owner
     found = []
     for q in queries:
-        if not len(q):
-            found.append([])
-            continue
-        low = np.searchsorted(tokens, q, side="left")
-        high = np.searchsorted(tokens, q, side="right")
-        length = high - low
         n = len(q)
-        fewest = -(-percent * n // 100)  # the least any partner needs: T for the smallest one
-        by_length = np.argsort(length, kind="stable")
-        longest = int(length[by_length[-1]])
-        n_long = min(int(fewest / (np.log2(longest + 2) / probe_cost + 1)), fewest - 1) if longest else 0
-        short, long = by_length[: n - n_long], by_length[n - n_long :]
-        merged = np.concatenate([owners[low[i] : high[i]] for i in short[length[short] > 0]] or [np.empty(0, np.int64)])
-        count = np.bincount(merged, minlength=len(index))
-        cand = np.flatnonzero(count >= max(1, fewest - n_long))
+        fewest = -(-percent * n // 100)  # T for the smallest possible partner
+        low = np.searchsorted(tokens, q, side="left")
+        length = np.searchsorted(tokens, q, side="right") - low
+        used = length > 0
+        if used.sum() < fewest:
+            found.append(np.empty(0, np.int64))
+            continue
+        low, length = low[used], length[used]
+        long = np.flatnonzero(length > long_list)
+        long = long[np.argsort(-length[long], kind="stable")][: max(0, fewest - 1)]
+        is_short = np.ones(len(length), bool)
+        is_short[long] = False
+        # merge of the short lists: positions of all their entries, counted by owner
+        first, many = low[is_short], length[is_short]
+        at = np.repeat(first - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum())
+        count = np.bincount(owners[at], minlength=len(index))
+        cand = np.flatnonzero(count >= max(1, fewest - len(long)))
         cand = cand[(sizes[cand] * 100 >= percent * n) & (n * 100 >= percent * sizes[cand])]
         shared = count[cand]
-        for i in long:
+        for i in long[::-1]:
             if not len(cand):
                 break
-            here = owners[low[i] : high[i]]
-            at = np.searchsorted(here, cand)
-            shared = shared + ((at < len(here)) & (here[np.minimum(at, len(here) - 1)] == cand))
-        linked = 100 * shared >= percent * (n + sizes[cand] - shared)
-        found.append(cand[linked].tolist())
+            here = owners[low[i] : low[i] + length[i]]
+            spot = np.searchsorted(here, cand)
+            shared = shared + ((spot < len(here)) & (here[np.minimum(spot, len(here) - 1)] == cand))
+        found.append(cand[100 * shared >= percent * (n + sizes[cand] - shared)])
     return found
 
 
@@ -189,30 +196,36 @@ def _sets(n: int):
 
 
 def _search(percent: int):
-    """Links of one pair of chunks of a block; `open` members are looked for among all others."""
+    """Links between components in one pair of chunks of a block.
+
+    `open` members are outside the component of the block's own node; each is looked for among all
+    others. Links inside a component are not needed twice.
+    """
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         sets = [np.sort(s.astype(np.int64).view(np.uint64)) for s in frame["shingles"]]
         side, is_open, node = frame["side"].to_numpy(), frame["open"].to_numpy(), frame["node"].to_numpy()
-        same = frame["same"].iloc[0]
-        parent = list(range(len(sets)))
+        _, parent = np.unique(frame["component"].to_numpy(), return_inverse=True)
+        label = parent.copy()  # of each row; roots are merged in `joined`
+        joined = list(range(int(label.max()) + 1))
 
         def root(x: int) -> int:
-            while parent[x] != x:
-                parent[x] = parent[parent[x]]
-                x = parent[x]
+            while joined[x] != x:
+                joined[x] = joined[joined[x]]
+                x = joined[x]
             return x
 
         out = []
-        for ask, among in ((0, 0),) if same else ((0, 1), (1, 0)):
+        for ask, among in ((0, 0),) if frame["same"].iloc[0] else ((0, 1), (1, 0)):
             index = np.flatnonzero(side == among)
             asks = np.flatnonzero((side == ask) & is_open)
             hits = divide_skip([sets[i] for i in index], [sets[i] for i in asks], percent)
             for i, others in zip(asks.tolist(), hits, strict=True):
-                for j in index[others].tolist():
-                    a, b = root(i), root(j)
-                    if a != b:  # links inside a component are not needed twice
-                        parent[a] = b
+                other = index[others]
+                for j in other[label[other] != label[i]].tolist():
+                    a, b = root(label[i]), root(label[j])
+                    if a != b:
+                        joined[a] = b
                         out.append((node[i], node[j]))
         return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
@@ -249,19 +262,22 @@ def similar_nodes(docs: DataFrame, nodes: DataFrame, percent: int, n: int, chunk
     )
     tried = written(tried.select("center", "node", "size", "linked"), "tried")
     links = tried.where("linked").select(F.col("center").alias("a"), F.col("node").alias("b"))
+    known = written(connected_components(links), "known")
+    release(spark)
 
-    # blocks with members that are not linked with it, two members at least
-    blocks = tried.groupBy("center").agg(
-        F.count("*").alias("members"), F.sum("size").alias("shingles"), F.count_if(~F.col("linked")).alias("open")
-    )
-    blocks = blocks.where("open > 0 and members > 1").select(
-        "center", F.ceil(F.col("shingles") / F.lit(chunk_shingles)).cast("int").alias("chunks")
-    )
-    chunked = (
-        tried.join(blocks, "center")
-        .withColumn("chunk", F.pmod(F.xxhash64("node", "center"), F.col("chunks")).cast("int"))
-        .withColumn("open", ~F.col("linked"))
+    # blocks with members outside the component of the block's own node
+    label = known.select("node", "component")
+    own = label.select(F.col("node").alias("center"), F.col("component").alias("center_component"))
+    state = (
+        tried.join(label, "node", "left")
+        .join(own, "center", "left")
+        .select("center", "node", "size", F.coalesce("component", "node").alias("component"), F.coalesce("center_component", "center").alias("home"))
+        .withColumn("open", F.col("component") != F.col("home"))
     )
+    state = written(state.drop("home"), "state")
+    blocks = state.groupBy("center").agg(F.count("*").alias("members"), F.sum("size").alias("shingles"), F.bool_or("open").alias("any"))
+    blocks = blocks.where("any and members > 1").select("center", F.ceil(F.col("shingles") / F.lit(chunk_shingles)).cast("int").alias("chunks"))
+    chunked = state.join(blocks, "center").withColumn("chunk", F.pmod(F.xxhash64("node", "center"), F.col("chunks")).cast("int"))
     # each member goes to every pair of chunks that its own is in
     paired = chunked.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select(
         "center",
@@ -270,12 +286,14 @@ def similar_nodes(docs: DataFrame, nodes: DataFrame, percent: int, n: int, chunk
         (F.col("chunk") > F.col("with")).cast("int").alias("side"),
         (F.col("chunk") == F.col("with")).alias("same"),
         "node",
+        "component",
         "open",
     )
     asked = paired.groupBy("center", "i", "j").agg(F.bool_or("open").alias("any")).where("any").select("center", "i", "j")
     searched = paired.join(asked, ["center", "i", "j"]).join(sets, "node")
     more = searched.groupBy("center", "i", "j").applyInPandas(_search(percent), "a long, b long")
-    return links.unionByName(more)
+    stars = known.where("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b"))
+    return stars.unionByName(more)
 
 
 def jaccard_components(docs: DataFrame, percent: int = 90, n: int = 3, chunk_shingles: int = 400_000) -> DataFrame:
