@@ -58,7 +58,7 @@ _RANDOM_COLUMNS = {
     "ci_high": f"mu + {Z95} * se",
     "z": "mu / se",
     "tau2": "tau2",
-    "tau": "sqrt(tau2)",
+    "tau": "CASE WHEN tau2 < 1e-7 THEN 0.0 ELSE sqrt(tau2) END",
     "q": "q",
     "i2": "greatest(0, (q - (k - 1)) / q)",
     "i2_tau": "tau2 / (tau2 + s2)",
@@ -79,6 +79,8 @@ _RANDOM_SQL = (
 
 def _random(spark: SparkSession, sf_dir: str, method: str) -> DataFrame:
     out = pooling.random_effects(effects(spark, sf_dir), KEYS, method)
+    # step halving leaves a residue at the boundary, of which the root would show
+    out = out.withColumn("tau", F.when(c("tau2") < 1e-7, 0.0).otherwise(c("tau")))
     return rounded(out.select("outcome", "k", *_RANDOM_COLUMNS), 5)
 
 
@@ -242,7 +244,7 @@ def study_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _CHI = "chi(df, lo, hi) AS (VALUES " + ", ".join(f"({df}, {special.chi2_ppf(0.025, df)!r}, {special.chi2_ppf(0.975, df)!r})" for df in range(1, 60)) + ")"
 _BOUND = """SELECT t.outcome, t.side, t.target, t.i + 1, CASE WHEN big THEN mid ELSE lo END, CASE WHEN big THEN hi ELSE mid END FROM (
-    SELECT u.outcome, u.side, u.target, u.i, u.lo, u.hi, u.mid, sum(y * y / (v + mid)) - power(sum(y / (v + mid)), 2) / sum(1 / (v + mid)) > u.target AS big
+    SELECT u.outcome, u.side, u.target, u.i, u.lo, u.hi, u.mid, sum(y * y / (v + mid)) - power(sum(y / (v + mid)), 2) / sum(1 / (v + mid)) > any_value(u.target) AS big
     FROM (SELECT *, (lo + hi) / 2 AS mid FROM it WHERE i < 80) u JOIN effects USING (outcome) GROUP BY ALL) t"""
 
 

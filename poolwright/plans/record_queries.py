@@ -226,11 +226,11 @@ def _ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     k AS (SELECT r.*, mid, row_number() OVER (PARTITION BY r.axis ORDER BY res DESC, tick) AS rk FROM r JOIN m ON m.axis = r.axis),
     kept AS (SELECT axis, px, value FROM k WHERE NOT coalesce(n >= 4 AND rk = 1 AND res > greatest(3 * mid, 0.25), false)),
     g AS (SELECT axis, regr_slope(value, px) AS a, regr_intercept(value, px) AS b, count(*) AS used FROM kept GROUP BY 1)
-    SELECT axis, used, round(any_value(a), 4) + 0.0 AS a, round(any_value(b), 4) + 0.0 AS b, round(sqrt(avg(power((value - a * px - b) / a, 2))), 4) + 0.0 AS rmse_px FROM kept JOIN g USING (axis) GROUP BY 1, 2"""
+    SELECT axis, used, round(any_value(a), 3) + 0.0 AS a, round(any_value(b), 3) + 0.0 AS b, round(sqrt(avg(power((value - a * px - b) / a, 2))), 3) + 0.0 AS rmse_px FROM kept JOIN g USING (axis) GROUP BY 1, 2"""
 )
 def fit_axis(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Axis calibration from tick tables, with one outlier left out."""
-    return rounded(agreement.fit_axis(_ticks(spark, sf_dir), "axis"), 4)
+    return rounded(agreement.fit_axis(_ticks(spark, sf_dir), "axis"), 3)
 
 
 @query(

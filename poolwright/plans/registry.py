@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-from . import effect_queries, match_queries, pool_queries, record_queries, text_queries
+# the modules register their queries when they are imported
+from . import effect_queries, log_queries, match_queries, pool_queries, record_queries, resolve_queries, text_queries  # noqa: F401
 from .base import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
-
-for _module in (effect_queries, pool_queries, record_queries, match_queries, text_queries):
-    assert _module.__name__.startswith("poolwright.")
