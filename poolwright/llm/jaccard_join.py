@@ -12,9 +12,10 @@ shingles is equal by copying and hardly ever by chance, however frequent single
 All nodes under a key go to the block of the key's smallest node.
 
 Search. A block is searched for sets that share T shingles, T being the overlap that the threshold
-asks for: first its members against the block's own node, which ties most of them into components.
-Blocks with members outside the own node's component are cut into chunks of bounded size, and every
-pair of chunks that has such a member is searched: the shingles' short inverted lists are merged,
+asks for: first each node against the own node of the block that it shares most keys with, which ties most
+into components. Then the blocks whose own nodes are in one component are taken together; where
+some member is in another component they are cut into chunks of bounded size, and every pair of
+chunks that has such a member is searched: the shingles' short inverted lists are merged,
 and candidates that reach T less the number of long lists are looked up in the long ones by binary
 search (DivideSkip). Nothing is capped; a pair that other links connect already is not listed.
 """
@@ -34,6 +35,8 @@ from poolwright.operators.graph import connected_components
 
 from .common import batch_rows, encoded, gram_hashes, mix, release, text_rows, word_hashes, written
 
+#: stands for a null doc_id; rows that share it are told apart by their sets
+NO_ID = 2**63 - 1
 _PART = np.uint64(0xA24BAED4963EE407)
 _SIZE = np.uint64(0x9FB21C651E98DF25)
 _PREFIX = np.uint64(0xD6E8FEB86659FD93)
@@ -187,10 +190,15 @@ def _postings(n: int, percent: int):
 def _sets(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingle_set(t, n).view(np.int64) for t in batch["text"].to_pylist()]
+            nodes, sets = [], []
+            for node, text in zip(batch["node"].to_pylist(), batch["text"].to_pylist(), strict=True):
+                s = shingle_set(text, n)
+                if len(s) and node_of(s) == node:  # another row of the same doc_id has another set
+                    nodes.append(node)
+                    sets.append(s.view(np.int64))
             ends = np.cumsum([0, *map(len, sets)])
             flat = pa.array(np.concatenate([np.empty(0, np.int64), *sets]))
-            yield pa.RecordBatch.from_arrays([batch["node"], pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)], ["node", "shingles"])
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)], ["node", "shingles"])
 
     return run
 
@@ -240,44 +248,50 @@ def similar_nodes(docs: DataFrame, nodes: DataFrame, percent: int, n: int, chunk
     live = postings.groupBy("key").agg(F.min("node").alias("center"), F.max("node").alias("other")).where("center < other").select("key", "center")
     live = written(live, "keys")
     release(spark)
-    members = postings.join(live, "key").where("node <> center").select("center", "node").distinct()
+    members = postings.join(live, "key").where("node <> center").groupBy("center", "node").agg(F.count("*").alias("keys"))
     members = written(members, "members")
     release(spark)
 
     # shingle sets of the nodes that stand in a block, each from one of its documents
     wanted = members.select("node").unionByName(members.select(F.col("center").alias("node"))).distinct()
-    reps = nodes.groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    wanted = reps.join(wanted, "node").where("doc_id is not null")
-    texts = text_rows(docs).join(wanted, "doc_id").groupBy("node").agg(F.min("text").alias("text"))
-    sets = written(texts.mapInArrow(_sets(n), "node long, shingles array<long>"), "sets")
+    nodes = nodes.withColumn("d", F.coalesce("doc_id", F.lit(NO_ID)))
+    reps = nodes.groupBy("node").agg(F.min("d").alias("d"), F.min("n_shingles").alias("n_shingles"))
+    texts = text_rows(docs).withColumn("d", F.coalesce("doc_id", F.lit(NO_ID)))
+    sets = texts.join(reps.join(wanted, "node"), "d").select("node", "text").mapInArrow(_sets(n), "node long, shingles array<long>")
+    if not nodes.groupBy("node", "d").agg(F.count("*").alias("rows")).where("rows > 1").isEmpty():
+        sets = sets.dropDuplicates(["node"])  # repeated rows of one document
+    sets = written(sets, "sets")
     release(spark)
 
-    # the members of a block against its own node
-    shared = F.size(F.array_intersect("shingles", "own"))
-    tried = (
-        members.join(sets, "node")
-        .join(sets.select(F.col("node").alias("center"), F.col("shingles").alias("own")), "center")
-        .select("center", "node", F.size("shingles").alias("size"), shared.alias("shared"), F.size("own").alias("own_size"))
-        .withColumn("linked", 100 * F.col("shared") >= percent * (F.col("size") + F.col("own_size") - F.col("shared")))
-    )
-    tried = written(tried.select("center", "node", "size", "linked"), "tried")
-    links = tried.where("linked").select(F.col("center").alias("a"), F.col("node").alias("b"))
-    known = written(connected_components(links), "known")
+    # each member against the node of the block that it shares most keys with
+    nearest = members.groupBy("node").agg(F.max_by("center", F.struct("keys", (-F.col("center")).alias("least"))).alias("center"))
+    common = F.size(F.array_intersect("shingles", "own"))
+    own = sets.select(F.col("node").alias("center"), F.col("shingles").alias("own"))
+    tried = nearest.join(sets, "node").join(own, "center")
+    tried = tried.select("center", "node", common.alias("shared"), (F.size("shingles") + F.size("own")).alias("sizes"))
+    linked = tried.where(100 * F.col("shared") >= percent * (F.col("sizes") - F.col("shared")))
+    known = written(connected_components(linked.select(F.col("center").alias("a"), F.col("node").alias("b"))), "known")
     release(spark)
 
-    # blocks with members outside the component of the block's own node
+    # what is left: blocks of one home component together, where some member is in another component
     label = known.select("node", "component")
-    own = label.select(F.col("node").alias("center"), F.col("component").alias("center_component"))
+    home = label.select(F.col("node").alias("center"), F.col("component").alias("home"))
+    placed = members.select("center", "node").unionByName(members.select("center", F.col("center").alias("node")).distinct())
     state = (
-        tried.join(label, "node", "left")
-        .join(own, "center", "left")
-        .select("center", "node", "size", F.coalesce("component", "node").alias("component"), F.coalesce("center_component", "center").alias("home"))
-        .withColumn("open", F.col("component") != F.col("home"))
+        placed.join(home, "center", "left")
+        .withColumn("home", F.coalesce("home", "center"))
+        .select("home", "node")
+        .distinct()
+        .join(label, "node", "left")
+        .join(reps.select("node", F.col("n_shingles").alias("size")), "node")
+        .select(F.col("home").alias("center"), "node", "size", F.coalesce("component", "node").alias("component"))
+        .withColumn("open", F.col("component") != F.col("center"))
     )
-    state = written(state.drop("home"), "state")
-    blocks = state.groupBy("center").agg(F.count("*").alias("members"), F.sum("size").alias("shingles"), F.bool_or("open").alias("any"))
-    blocks = blocks.where("any and members > 1").select("center", F.ceil(F.col("shingles") / F.lit(chunk_shingles)).cast("int").alias("chunks"))
-    chunked = state.join(blocks, "center").withColumn("chunk", F.pmod(F.xxhash64("node", "center"), F.col("chunks")).cast("int"))
+    blocks = state.groupBy("center").agg(F.sum("size").alias("shingles"), F.bool_or("open").alias("any")).where("any")
+    blocks = blocks.select("center", F.ceil(F.col("shingles") / F.lit(chunk_shingles)).cast("int").alias("chunks"))
+    state = written(state.join(blocks, "center"), "state")
+    release(spark)
+    chunked = state.withColumn("chunk", F.pmod(F.xxhash64("node", "center"), F.col("chunks")).cast("int"))
     # each member goes to every pair of chunks that its own is in
     paired = chunked.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select(
         "center",
@@ -299,8 +313,8 @@ def similar_nodes(docs: DataFrame, nodes: DataFrame, percent: int, n: int, chunk
 def jaccard_components(docs: DataFrame, percent: int = 90, n: int = 3, chunk_shingles: int = 400_000) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id that links lead to) of every document.
 
-    A null text, or one without a word, has the empty set and links with nothing. Rows of a null
-    doc_id have a component only through others (null if they stand alone).
+    A null text, or one without a word, has the empty set and links with nothing. A row without a
+    doc_id takes its component from the rows it links with (null if none has an id).
     """
     spark = docs.sparkSession
     batch_rows(spark, 1000)

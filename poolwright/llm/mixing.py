@@ -54,7 +54,7 @@ def sainte_lague(votes: np.ndarray, seats: int, most: np.ndarray | None = None)
     for _ in range(100):
         mid = (low + high) / 2
         low, high = (mid, high) if count(mid).sum() <= seats else (low, mid)
-    got = count(low).astype(np.int64)
+    got = count(low * (1 - 1e-9)).astype(np.int64)  # below any tie, which the heap settles
     heap = [(-votes[i] / (2 * got[i] + 1), i) for i in range(len(votes)) if votes[i] > 0 and got[i] < most[i]]
     heapq.heapify(heap)
     for _ in range(seats - int(got.sum())):
@@ -71,7 +71,8 @@ def mix(
     share: float = 1.5,
     repeats: int = 2,
     block: int = 16,
-    shard_docs: int = 20_000,
+    shard_docs: int = 1_000,
+    most_shards: int = 100_000,
     seed: int = 7,
 ) -> DataFrame:
     """doc_id, size, source_size, target, taken: words that the mix takes of every document.
@@ -93,6 +94,8 @@ def mix(
         key=lambda r: (r[0] is None, r[0] or ""),
     )
     sizes = [r[1] for r in per_source]
+    # shards are small, but their number, which the driver sees, is bounded
+    shard_docs = max(shard_docs, -(-sum(r[2] for r in per_source) // most_shards))
     target = fill_targets(sizes, [weights[i % len(weights)] for i in range(len(sizes))], share * sum(sizes), repeats) if sizes else []
     seats = sainte_lague(np.array(target), round(sum(target) / block)) if sizes else []
     keys = ["n" if s is None else "s" + s for s, _, _ in per_source]

@@ -191,7 +191,7 @@ class SpanModel:
 
     def accepts(self, kind: str, pattern: str) -> bool:
         known = self.probability.get((kind, pattern))
-        return (known if known is not None else _predict(np.array(self.weights), [(kind, pattern)])[0]) >= ACCEPT
+        return bool((known if known is not None else _predict(np.array(self.weights), [(kind, pattern)])[0]) >= ACCEPT)
 
 
 def _features(rows: list[tuple[str, str]]) -> np.ndarray:
