@@ -19,8 +19,8 @@ SCHEMA = (
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
     """Decisions of JSON lines. A damaged line is a row of kind `unreadable`, never skipped; a missing seq
-    is the line's number within its file, counted by byte offset order of the reader's single split."""
-    lines = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\n")).alias("line", "value"))
+    is the line's number within its file. A log file is one decision history and is read whole."""
+    lines = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\n")).alias("line", "value"))
     lines = lines.where(F.trim("value") != "")
     parsed = lines.withColumn("r", F.from_json("value", SCHEMA + ", broken string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "broken"}))
     broken = c("r").isNull() | c("r.broken").isNotNull() | c("r.kind").isNull()
