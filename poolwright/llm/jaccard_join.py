@@ -13,9 +13,8 @@ All nodes under a key go to the block of the key's smallest node.
 
 Search. A block is searched for sets that share T shingles, T being the overlap that the threshold
 asks for: first each node against the own node of the block that it shares most keys with, which ties most
-into components. Then the blocks whose own nodes are in one component are taken together; where
-some member is in another component they are cut into chunks of bounded size, and every pair of
-chunks that has such a member is searched: the shingles' short inverted lists are merged,
+into components. Then the blocks whose own nodes are in one component are taken together; members
+in another component are open, and chunks of open members are looked for in chunks of all members: the shingles' short inverted lists are merged,
 and candidates that reach T less the number of long lists are looked up in the long ones by binary
 search (DivideSkip). Nothing is capped; a pair that other links connect already is not listed.
 """
@@ -204,18 +203,18 @@ def _sets(n: int):
 
 
 def _search(percent: int):
-    """Links between components in one pair of chunks of a block.
+    """Links between components in one cell of a block: a chunk of open members, which are outside the
+    component of the block's own nodes, is looked for in a chunk of all members.
 
-    `open` members are outside the component of the block's own node; each is looked for among all
-    others. Links inside a component are not needed twice.
+    Links inside a component are not needed twice.
     """
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         sets = [np.sort(s.astype(np.int64).view(np.uint64)) for s in frame["shingles"]]
-        side, is_open, node = frame["side"].to_numpy(), frame["open"].to_numpy(), frame["node"].to_numpy()
-        _, parent = np.unique(frame["component"].to_numpy(), return_inverse=True)
-        label = parent.copy()  # of each row; roots are merged in `joined`
-        joined = list(range(int(label.max()) + 1))
+        asks, index = np.flatnonzero(frame["asks"]), np.flatnonzero(~frame["asks"])
+        node = frame["node"].to_numpy()
+        names, label = np.unique(frame["component"].to_numpy(), return_inverse=True)
+        joined = list(range(len(names)))
 
         def root(x: int) -> int:
             while joined[x] != x:
@@ -224,17 +223,14 @@ def _search(percent: int):
             return x
 
         out = []
-        for ask, among in ((0, 0),) if frame["same"].iloc[0] else ((0, 1), (1, 0)):
-            index = np.flatnonzero(side == among)
-            asks = np.flatnonzero((side == ask) & is_open)
-            hits = divide_skip([sets[i] for i in index], [sets[i] for i in asks], percent)
-            for i, others in zip(asks.tolist(), hits, strict=True):
-                other = index[others]
-                for j in other[label[other] != label[i]].tolist():
-                    a, b = root(label[i]), root(label[j])
-                    if a != b:
-                        joined[a] = b
-                        out.append((node[i], node[j]))
+        hits = divide_skip([sets[i] for i in index], [sets[i] for i in asks], percent)
+        for i, others in zip(asks.tolist(), hits, strict=True):
+            other = index[others]
+            for j in other[label[other] != label[i]].tolist():
+                a, b = root(label[i]), root(label[j])
+                if a != b:
+                    joined[a] = b
+                    out.append((node[i], node[j]))
         return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
     return run
@@ -287,30 +283,26 @@ def similar_nodes(docs: DataFrame, nodes: DataFrame, percent: int, n: int, chunk
         .select(F.col("home").alias("center"), "node", "size", F.coalesce("component", "node").alias("component"))
         .withColumn("open", F.col("component") != F.col("center"))
     )
-    blocks = state.groupBy("center").agg(F.sum("size").alias("shingles"), F.bool_or("open").alias("any")).where("any")
-    blocks = blocks.select("center", F.ceil(F.col("shingles") / F.lit(chunk_shingles)).cast("int").alias("chunks"))
-    state = written(state.join(blocks, "center"), "state")
+    sums = [F.sum("size").alias("all"), F.sum(F.when(F.col("open"), F.col("size"))).alias("asking")]
+    blocks = state.groupBy("center").agg(*sums).where("asking > 0")
+    chunks = [F.ceil(F.col(x) / F.lit(chunk_shingles)).cast("int").alias(y) for x, y in (("all", "rows"), ("asking", "columns"))]
+    state = written(state.join(blocks.select("center", *chunks), "center"), "state")
     release(spark)
-    chunked = state.withColumn("chunk", F.pmod(F.xxhash64("node", "center"), F.col("chunks")).cast("int"))
-    # each member goes to every pair of chunks that its own is in
-    paired = chunked.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select(
-        "center",
-        F.least("chunk", "with").alias("i"),
-        F.greatest("chunk", "with").alias("j"),
-        (F.col("chunk") > F.col("with")).cast("int").alias("side"),
-        (F.col("chunk") == F.col("with")).alias("same"),
-        "node",
-        "component",
-        "open",
+    # a grid: all members by row, open ones by column; a member goes to every cell of its row or column
+    place = F.xxhash64("node", "center")
+    members_of = state.select(
+        "center", F.pmod(place, "rows").cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("columns") - 1)).alias("j"), "node", "component", F.lit(False).alias("asks")
     )
-    asked = paired.groupBy("center", "i", "j").agg(F.bool_or("open").alias("any")).where("any").select("center", "i", "j")
-    searched = paired.join(asked, ["center", "i", "j"]).join(sets, "node")
+    asking = state.where("open").select(
+        "center", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("i"), F.pmod(place, "columns").cast("int").alias("j"), "node", "component", F.lit(True).alias("asks")
+    )
+    searched = members_of.unionByName(asking).join(sets, "node")
     more = searched.groupBy("center", "i", "j").applyInPandas(_search(percent), "a long, b long")
     stars = known.where("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b"))
     return stars.unionByName(more)
 
 
-def jaccard_components(docs: DataFrame, percent: int = 90, n: int = 3, chunk_shingles: int = 400_000) -> DataFrame:
+def jaccard_components(docs: DataFrame, percent: int = 90, n: int = 3, chunk_shingles: int = 1_000_000) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id that links lead to) of every document.
 
     A null text, or one without a word, has the empty set and links with nothing. A row without a
