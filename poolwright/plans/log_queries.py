@@ -16,7 +16,7 @@ c = F.col
 _LOG = """log AS (
   SELECT event_id AS seq, CASE event_type WHEN 'click' THEN 'value' WHEN 'view' THEN 'which_measure' WHEN 'signup' THEN 'group_n' WHEN 'error' THEN 'exclude_dataset' ELSE 'eligibility' END AS kind,
          user_id AS dataset, user_id % 40 AS paper, CASE WHEN event_id % 3 > 0 THEN value END AS mean, CASE WHEN event_id % 4 > 0 THEN value / 10 END AS spread,
-         CASE WHEN event_id % 5 = 0 THEN 1.0 + event_id % 30 END AS n, value > 20 AS eligible FROM events
+         CASE WHEN event_id % 5 = 0 THEN (1 + event_id % 30)::DOUBLE END AS n, value > 20 AS eligible FROM events
 )"""
 
 
@@ -54,7 +54,7 @@ def log_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""WITH {_LOG}, v AS (SELECT dataset, max_by(mean, seq) FILTER (WHERE mean IS NOT NULL) AS m, max_by(n, seq) FILTER (WHERE n IS NOT NULL) AS k FROM log WHERE kind = 'value' AND seq < 3000 GROUP BY 1),
     x AS (SELECT DISTINCT dataset FROM log WHERE kind = 'exclude_dataset' AND seq < 300),
     p AS (SELECT paper FROM log WHERE kind = 'eligibility' AND seq < 300 GROUP BY 1 HAVING NOT max_by(eligible, seq))
-    SELECT c_custkey, coalesce(m, c_acctbal) AS mean, coalesce(k, 10.0) AS n, v.dataset IS NOT NULL AS touched FROM customer LEFT JOIN v ON v.dataset = c_custkey
+    SELECT c_custkey, coalesce(m, c_acctbal) AS mean, coalesce(k, 10.0::DOUBLE) AS n, v.dataset IS NOT NULL AS touched FROM customer LEFT JOIN v ON v.dataset = c_custkey
     WHERE c_custkey NOT IN (SELECT dataset FROM x) AND c_custkey % 40 NOT IN (SELECT paper FROM p)"""
 )
 def log_apply(spark: SparkSession, sf_dir: str) -> DataFrame:

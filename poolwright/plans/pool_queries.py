@@ -112,7 +112,7 @@ def pool_pm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _random(spark, sf_dir, "PM")
 
 
-@query(f"WITH {EFFECTS_SQL}, {_T}, {_FIXED}, tau AS (SELECT outcome, 0.0 AS tau2 FROM dl){_POOL} {_RANDOM_SQL}")
+@query(f"WITH {EFFECTS_SQL}, {_T}, {_FIXED}, tau AS (SELECT outcome, 0.0::DOUBLE AS tau2 FROM dl){_POOL} {_RANDOM_SQL}")
 def pool_fe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _random(spark, sf_dir, "FE")
 
