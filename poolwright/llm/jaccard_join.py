@@ -318,3 +318,18 @@ def jaccard_components(docs: DataFrame, percent: int = 90, n: int = 3, chunk_shi
     first = grouped.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     empty = nodes.where("node is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return grouped.join(first, "component").select("doc_id", "n_shingles", "component_id").unionByName(empty)
+
+
+#: The same in DuckDB, by brute force over all pairs that share a shingle.
+ORACLE = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, array_to_string(words[i:i + 2], ' ') AS shingle FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 1, 2))) AS i FROM w WHERE len(words) > 0)
+), n AS (SELECT w.doc_id, count(shingle) AS n FROM w LEFT JOIN s ON s.doc_id = w.doc_id GROUP BY 1),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 90 * (x.n + y.n - k)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r(doc_id, c) AS (SELECT doc_id, doc_id FROM n UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.doc_id AND r.c < e.b)
+SELECT n.doc_id, any_value(n.n)::BIGINT AS n_shingles, min(c)::BIGINT AS component_id FROM n JOIN r ON r.doc_id = n.doc_id GROUP BY 1
+"""

@@ -68,4 +68,8 @@ QUERIES = {
     "op9_quality_lines": op9_quality_lines,
     "op10_token_files": op10_token_files,
 }
-ORACLE_SQL: dict[str, str] = {"op9_quality_lines": quality_lines.ORACLE}
+ORACLE_SQL: dict[str, str] = {
+    "op4_substring_dedup": substring_dedup.ORACLE,
+    "op6_jaccard_join": jaccard_join.ORACLE,
+    "op9_quality_lines": quality_lines.ORACLE,
+}

@@ -188,3 +188,18 @@ def remove_repeats(docs: DataFrame, window: int = 13) -> DataFrame:
         .select("doc_id", "text", "windows", "copies")
         .mapInArrow(_cut(window), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
     )
+
+
+#: The same in DuckDB, by brute force over all windows.
+ORACLE = r"""
+WITH w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents
+), g AS (
+  SELECT doc_id, i, array_to_string(words[i:i + 12], ' ') AS window_text FROM (SELECT doc_id, words, unnest(range(1, len(words) - 11)) AS i FROM w WHERE len(words) >= 13)
+), f AS (SELECT window_text, min(doc_id) AS first FROM g GROUP BY 1),
+h AS (SELECT doc_id, list(i) AS starts FROM g JOIN f USING (window_text) WHERE first < doc_id GROUP BY 1),
+c AS (SELECT doc_id, list(DISTINCT p) AS gone FROM (SELECT doc_id, unnest(range(s, s + 13)) AS p FROM (SELECT doc_id, unnest(starts) AS s FROM h)) GROUP BY 1)
+SELECT w.doc_id, len(words)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_removed,
+       sha256(coalesce(array_to_string(CASE WHEN gone IS NULL THEN words ELSE list_filter(words, lambda x, i: NOT list_contains(gone, i)) END, ' '), '')) AS kept_sha256
+FROM w LEFT JOIN c ON c.doc_id = w.doc_id
+"""
