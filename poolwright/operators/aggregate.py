@@ -129,9 +129,8 @@ def route_group(route: Column) -> Column:
 def route_counts(df: DataFrame, route: str) -> DataFrame:
     """Rows, share in percent and routes of each bucket."""
     g = df.withColumn("bucket", route_group(c(route))).groupBy("bucket").agg(F.count("*").alias("n"), F.array_sort(F.collect_set(route)).alias("routes"))
-    return g.join(df.agg(F.count("*").alias("total")), how="cross").select(
-        "bucket", "n", (100 * c("n") / c("total")).alias("pct"), F.array_join("routes", "|").alias("routes")
-    )
+    share = 100 * c("n") / F.sum("n").over(Window.partitionBy())  # five buckets at most
+    return g.select("bucket", "n", share.alias("pct"), F.array_join("routes", "|").alias("routes"))
 
 
 def flow_counts(df: DataFrame, steps: dict[str, Column]) -> DataFrame:
