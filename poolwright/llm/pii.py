@@ -14,9 +14,11 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -86,7 +88,8 @@ _LOOSE = {
     "email": re.compile(r"\b[A-Za-z0-9._%+-]{1,64} ?(?:\[at\]|\(at\)|@) ?[A-Za-z0-9-]{1,63}(?: ?(?:\[dot\]|\(dot\)|\.) ?[A-Za-z0-9-]{2,63}){1,4}\b"),
     "card": re.compile(r"(?<![0-9])[0-9]{4}(?:[ .-]?[0-9]{4}){2,3}(?:[ .-]?[0-9]{1,3})?(?![0-9])"),
     "phone": re.compile(r"(?<![0-9+(])(?:\([0-9]{3}\) ?|[0-9]{3}[-. ])[0-9]{3}[-. ][0-9]{4}(?![0-9])"),
-    "secret": re.compile(r"\b([A-Za-z_]{2,30}) ?[=:] ?[\"']?([A-Za-z0-9+/_-]{8,200})[\"']?"),
+    # the value is looked ahead for, as it may be the name of the next one: "note: password=..."
+    "secret": re.compile(r"\b[A-Za-z_]{2,30} ?[=:] ?[\"']?(?=([A-Za-z0-9+/_-]{8,}[\"']?))"),
     "national_id": re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
     "iban": re.compile(r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b"),
 }
@@ -161,22 +164,60 @@ def votes(text: str, kind: str, start: int, end: int, strict: bool) -> str:
     return ("+" if strict else "0") + checksum + gazetteer + _vote(cue, other and not cue) + shape
 
 
+def _reach(spans: list[tuple[int, int]]) -> tuple[list[int], list[int]]:
+    """Starts in order, and how far the spans up to each reach."""
+    spans = sorted(spans)
+    return [a for a, _ in spans], list(accumulate((b for _, b in spans), max))
+
+
+def _inside(reach: tuple[list[int], list[int]], a: int, b: int) -> bool:
+    before = bisect_right(reach[0], a)
+    return before > 0 and reach[1][before - 1] >= b
+
+
 def candidates(text: str | None) -> list[tuple[str, int, int, bool, str]]:
-    """(kind, start, end, in the base, pattern of votes); loose ones don't overlap the base or each other."""
+    """(kind, start, end, in the base, pattern of votes).
+
+    Loose ones may overlap each other and base spans of other kinds; one that is inside a base span,
+    or overlaps a base span of its own kind, is left out.
+    """
     if not text:
         return []
     base = base_spans(text)
     out = [(k, a, b, True, votes(text, k, a, b, True)) for k, a, b in base]
-    taken = sorted((a, b) for _, a, b in base)
+    reach = _reach([(a, b) for _, a, b in base])
     digit = _DIGIT.search(text) is not None
     for kind, pattern in _LOOSE.items():
         if kind in ("card", "phone", "national_id", "iban") and not digit or not any(x in text for x in _NEEDS.get(kind, ("",))):
             continue
+        own = [(a, b) for k, a, b in base if k == kind]  # disjoint and in order
         for m in pattern.finditer(text):
-            a, b = m.span()
-            if not any(x < b and a < y for x, y in taken):
-                out.append((kind, a, b, False, votes(text, kind, a, b, False)))
-                taken.append((a, b))
+            a, b = m.start(), max(m.end(), m.end(pattern.groups))
+            last = bisect_left(own, (b, 0))
+            if _inside(reach, a, b) or last and own[last - 1][1] > a:
+                continue
+            out.append((kind, a, b, False, votes(text, kind, a, b, False)))
+    return out
+
+
+_SECRET_NAME = re.compile(r"[A-Za-z_]{2,30} ?[=:] ?[\"']?")
+
+
+def resolved(text: str, accepted: list[tuple[str, int, int]], base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+    """Accepted looser spans without those inside a base span or another accepted one (of equal ones the first kind stays).
+
+    A secret whose whole value is a span of another kind is that kind. Spans that overlap in part all
+    stay: what either covers is personal data.
+    """
+    others = _reach([(a, b) for k, a, b in [*base, *accepted] if k != "secret"])
+    value = lambda a, b: (_SECRET_NAME.match(text, a).end(), b - (text[b - 1] in "\"'"))
+    accepted = [(k, a, b) for k, a, b in accepted if k != "secret" or not _inside(others, *value(a, b))]
+    rows = [(a, -b, 0, 0, k) for k, a, b in base] + [(a, -b, 1, KINDS.index(k), k) for k, a, b in accepted]
+    out, end = [], -1
+    for a, b, loose, _, kind in sorted(rows):
+        if loose and -b > end:
+            out.append((kind, a, -b))
+        end = max(end, -b)
     return out
 
 
@@ -304,7 +345,7 @@ def find_spans(docs: DataFrame, model: SpanModel | None = None) -> DataFrame:
             for text in batch["text"].to_pylist():
                 all_of = candidates(text)
                 base = [(k, a, b) for k, a, b, strict, _ in all_of if strict]
-                spans = base + [(k, a, b) for k, a, b, strict, v in all_of if not strict and model.accepts(k, v)]
+                spans = base + resolved(text, [(k, a, b) for k, a, b, strict, v in all_of if not strict and model.accepts(k, v)], base)
                 n = Counter(k for k, _, _ in base)
                 digest = hashlib.sha256(_joined(base).encode()).hexdigest()
                 rows.append((*(n[k] for k in BASE_KINDS), digest, _joined(spans), redacted(text, spans)))
