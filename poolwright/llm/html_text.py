@@ -10,6 +10,7 @@ from __future__ import annotations
 import html as html_entities
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
@@ -25,6 +26,8 @@ INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split()
 )
 SKIPPED = frozenset("script style noscript template title svg math iframe object textarea select option".split())
+#: of these, the ones that hold raw text: without an end tag they reach to the end of the page
+RAW = frozenset("script style textarea title".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 LEAVES = frozenset("p li dt dd h1 h2 h3 h4 h5 h6 tr td th caption figcaption".split())
 BOILER_TAGS = frozenset("nav footer aside form menu dialog button fieldset".split())
@@ -65,9 +68,39 @@ class _Cutter:
     stack: list[tuple[str, bool, bool]] = field(default_factory=lambda: [("", False, False)])
     leaf: str = ""
     link: bool = False
+    #: elements from the outermost skipped one on, how many of each tag, and the same of those around it
+    inside: list[str] = field(default_factory=list)
+    skipped: Counter = field(default_factory=Counter)
+    around: Counter = field(default_factory=Counter)
+
+    def skip(self, tag: str) -> None:
+        self.inside.append(tag)
+        self.skipped[tag] += 1
+
+    def skips_open(self, tag: str) -> bool:
+        """Whether a skipped element holds a start tag; an option that is not in one ends at it."""
+        if self.inside == ["option"]:
+            self.end_skip()
+        return bool(self.inside)
+
+    def skips_close(self, tag: str) -> bool:
+        """Whether an end tag is of something in a skipped element; that of an element around it ends it."""
+        if self.skipped[tag]:
+            last = ""
+            while last != tag:
+                last = self.inside.pop()
+                self.skipped[last] -= 1
+            return True
+        if self.inside and (self.inside == ["option"] or self.around[tag]):
+            self.end_skip()
+        return bool(self.inside)
+
+    def end_skip(self) -> None:
+        self.inside.clear()
+        self.skipped.clear()
 
     def text(self, s: str) -> None:
-        if s:
+        if s and not self.inside:
             self.parts.append(s)
             if self.link:
                 self.linked.append(s)
@@ -171,17 +204,29 @@ def cut_blocks(page: str | None) -> list[Block]:
         tag = m[1].lower()
         at = end + 1
         if page[lt + 1] == "/":
-            cutter.close(tag)
+            if not cutter.skips_close(tag):
+                if cutter.around[tag]:
+                    cutter.around[tag] -= 1
+                cutter.close(tag)
             continue
-        if tag in SKIPPED and page[end - 1] != "/":
+        holds = cutter.skips_open(tag)
+        if page[end - 1] != "/" and tag in RAW and not (tag in ("textarea", "title") and (cutter.skipped["svg"] or cutter.skipped["math"])):
             stop = low.find(f"</{tag}", at) if low is not None else _find_close(page, tag, at)
-            if tag not in ("title", "option", "select"):
+            if tag != "title":
                 cutter.text(" ")
             if stop < 0:
                 break
             stop = page.find(">", stop)
             at = n if stop < 0 else stop + 1
             continue
+        if holds or tag in SKIPPED and page[end - 1] != "/":
+            if tag not in ("option", "select"):
+                cutter.text(" ")
+            if tag not in VOID and page[end - 1] != "/":
+                cutter.skip(tag)
+            continue
+        if tag not in VOID:
+            cutter.around[tag] += 1
         cutter.open(tag, page[m.end() : end])
         if page[end - 1] == "/" and tag not in INLINE and tag not in VOID:
             pass  # HTML ignores the slash of a self-closing element
