@@ -157,28 +157,34 @@ def parse_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", t.parse_number(shown).alias("value"))
 
 
-@query(
-    """WITH b AS (SELECT item_id, substr(text, 1, 40) AS quote FROM benchmark)
-    SELECT item_id, count(doc_id) AS places, min(doc_id) AS first FROM b LEFT JOIN documents ON contains(text, quote) GROUP BY 1"""
-)
-def quote_grounding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that hold a quote word for word.
+def quote_places(quotes: DataFrame, docs: DataFrame, most_heads: int = 1000) -> DataFrame:
+    """item_id, places, first: the documents that hold a quote.
 
-    Quotes meet the documents on their first eight characters (every place of a text is a key), so the
-    containment test runs on few pairs.
+    Quotes meet the documents on their first eight characters (every place of a text is a key; quotes
+    that are shorter are keys of their own length), so the containment test runs on few pairs.
     """
-    quotes = table(spark, sf_dir, "benchmark").select("item_id", F.substring("text", 1, 40).alias("quote"))
     keyed = quotes.withColumn("key", F.left("quote", F.lit(8)))
-    heads = [r["key"] for r in keyed.select("key").distinct().limit(1001).collect()]
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    if len(heads) <= 1000:  # few quotes: look for their starts only
+    heads = [r["key"] for r in keyed.select("key").distinct().limit(most_heads + 1).collect()]
+    if len(heads) <= most_heads:  # few quotes: look for their starts only
         found = F.array_compact(F.array(*[F.when(F.contains("text", F.lit(h)), F.lit(h)) for h in heads])) if heads else F.array().cast("array<string>")
     else:
-        found = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("text") - 7)), lambda i: F.substr("text", i, F.lit(8))))
+        sizes = sorted(r["size"] for r in keyed.select(F.length("key").alias("size")).where("size is not null").distinct().collect())
+        grams = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("text") - (n - 1))), lambda i: F.substr("text", i, F.lit(n)))
+        found = F.array_distinct(F.concat(*[grams(n) for n in sizes])) if sizes else F.array().cast("array<string>")
     hits = docs.withColumn("key", F.explode(found)).join(keyed, "key").where(F.contains("text", c("quote"))).groupBy("item_id").agg(F.count("*").alias("places"), F.min("doc_id").alias("first"))
     return quotes.select("item_id").join(hits, "item_id", "left").select("item_id", F.coalesce("places", F.lit(0)).alias("places"), "first")
 
 
+@query(
+    """WITH b AS (SELECT item_id, substr(text, 1, 40) AS quote FROM benchmark)
+    SELECT item_id, count(doc_id) AS places, min(doc_id) AS first FROM b LEFT JOIN documents ON contains(text, quote) GROUP BY 1"""
+)
+def quote_grounding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a quote word for word."""
+    quotes = table(spark, sf_dir, "benchmark").select("item_id", F.substring("text", 1, 40).alias("quote"))
+    return quote_places(quotes, table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 @query(
     """SELECT o_orderkey, array_to_string(list_transform(list_slice(a, 1, 3), lambda x: x), ', ') || CASE WHEN len(a) > 3 THEN ' et al.' ELSE '' END AS authors
     FROM (SELECT l_orderkey AS o_orderkey, list('S' || l_suppkey ORDER BY l_linenumber, l_suppkey, l_partkey, l_extendedprice) AS a FROM lineitem GROUP BY 1)"""
