@@ -41,11 +41,13 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents the one with the smallest doc_id stays.
 
+    Documents link that are alike to 80 % or more in their sets of five-word shingles.
+
     Of repeated rows with equal id and text one stays. Rows without an id cannot be told apart by
     a group's smallest id; they stay, repeated ones once.
     """
     docs = _columns(docs)
-    found = jaccard_join.jaccard_components(docs)
+    found = jaccard_join.jaccard_components(docs, percent=80, n=5)
     stay = written(found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("rows")), "stay")
     kept = docs.join(stay.select("doc_id"), "doc_id", "left_semi")
     odd = stay.where("rows > 1").select("doc_id")

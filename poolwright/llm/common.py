@@ -60,9 +60,19 @@ def gram_hashes(h: np.ndarray, n: int) -> np.ndarray:
     return mix(out)
 
 
+#: bytes of an Arrow batch, so that a run of very long texts is many batches
+BATCH_BYTES = 8 << 20
+
+
 def batch_rows(spark: SparkSession, rows: int) -> None:
-    """Bound the Arrow batches that carry whole texts."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    """Bound the Arrow batches that carry whole texts, by rows and by bytes.
+
+    These are settings of the session, read when the plan runs, and stay set. Lower ones are left.
+    """
+    for key, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", BATCH_BYTES)):
+        now = spark.conf.get(f"spark.sql.execution.arrow.{key}").lower().removesuffix("b")
+        if not (now.isdigit() and 0 < int(now) <= most):
+            spark.conf.set(f"spark.sql.execution.arrow.{key}", str(most))
 
 
 def text_rows(docs: DataFrame, *more: str) -> DataFrame:

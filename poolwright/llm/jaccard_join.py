@@ -1,72 +1,93 @@
 """N-gram Jaccard join by T-occurrence search.
 
-A document is its set of word 3-shingles; two link when the sets' Jaccard similarity reaches a
+A document is its set of word shingles; two link when the sets' Jaccard similarity reaches a
 threshold. Documents with equal sets are one node.
 
-Blocks. Nodes of similar size split the universe of shingles into m parts by hash, with m one more
-than the most shingles in which two linked sets of that size can differ. Linked sets then agree on
-a whole part, so a node is listed under the hash of each of its parts, and two linked nodes meet
-under one key at least (a node with an empty part, where agreement means nothing, also lists its
-prefix: the shingles of which linked sets share one). Keys are selective: a part of some nine
-shingles is equal by copying and hardly ever by chance, however frequent single shingles are.
-All nodes under a key go to the block of the key's smallest node.
-
-Search. A block is searched for sets that share T shingles, T being the overlap that the threshold
-asks for: first each node against the own node of the block that it shares most keys with, which ties most
-into components. Then the blocks whose own nodes are in one component are taken together; members
-in another component are open, and chunks of open members are looked for in chunks of all members: the shingles' short inverted lists are merged,
-and candidates that reach T less the number of long lists are looked up in the long ones by binary
-search (DivideSkip). Nothing is capped; a pair that other links connect already is not listed.
+Blocks say which nodes an inverted index holds together. Nodes of similar size split the universe of
+shingles into m parts by hash, with a few parts more than the most shingles in which two linked sets
+of that size can differ. Linked sets then agree on several whole parts, so every node is listed under
+the hashes of its parts and two linked nodes meet under one key at least. Parts of very few shingles
+are not listed, as unrelated texts share those; the parts to spare make up for them, and a node that
+has too few to spare also lists the parts of a finer split. Nodes that keys connect are one block; no
+pair within a key is listed, only each node with the key's smallest one.
+
+Search. Links are found by T-occurrence search alone: a block has an inverted list of nodes for each
+shingle, and a node links with those that stand in T of its lists, T being the overlap that the
+threshold asks for. DivideSkip takes the longest L lists aside; the short ones are merged over a heap
+(long merges count in arrays instead, with equal results), and nodes that reach T - L there are
+looked up in the long lists by binary search. A node that is linked leaves the lists, so a group of
+copies is searched about once and not once for each pair. Nothing is capped: a block over
+chunk_shingles is cut into chunks, of which every two meet in one index.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import groupby
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from poolwright.operators.graph import connected_components
 
-from .common import batch_rows, encoded, gram_hashes, mix, release, text_rows, word_hashes, written
+from .common import batch_rows, encoded, gram_hashes, mix, release, shuffle_partitions, text_rows, word_hashes, written
 
 #: stands for a null doc_id; rows that share it are told apart by their sets
 NO_ID = 2**63 - 1
+#: finer splits that a node with too many small parts tries before it lists single shingles
+SPLITS = 6
+#: cost of a look-up against that of merging an entry (the mu of DivideSkip)
+MU = 1.0
+#: entries of the short lists up to which they go over a heap
+HEAP_ENTRIES = 4096
+#: rows up to which the nodes to search are broadcast: some 10 MB
+BROADCAST_ROWS = 100_000
 _PART = np.uint64(0xA24BAED4963EE407)
 _SIZE = np.uint64(0x9FB21C651E98DF25)
 _PREFIX = np.uint64(0xD6E8FEB86659FD93)
 
 
-def needed_overlap(sizes: int, percent: int) -> int:
+def needed_overlap(sizes: int | np.ndarray, percent: int) -> int | np.ndarray:
     """Least intersection of two sets whose sizes add up to `sizes`: percent * union <= 100 * it."""
     return -(-percent * sizes // (100 + percent))
 
 
 @lru_cache(maxsize=64)
-def size_bands(percent: int, most: int) -> tuple[list[int], list[int]]:
-    """First size of each band, and the parts of each band's scheme.
+def size_bands(percent: int, most: int) -> tuple[list[int], list[int], list[int], list[int]]:
+    """Of each band of sizes: its first size, the most shingles in which two linked sets of it (or of it
+    and the next band) differ, the least size of a part that is listed, the parts to spare.
 
     A linked partner of a set in a band is in the band or the next one.
     """
-    starts, parts = [1], []
+    starts, differ, least, spare = [1], [], [], []
     while starts[-1] <= most:
         low = starts[-1]
         high = max(low, low * 5 // 4 - 1)
         starts.append(high + 1)
         partner = high * 100 // percent
-        differ = 0
-        for s in range(max(2 * low, high + partner - 200), high + partner + 1):
-            differ = max(differ, s - 2 * needed_overlap(s, percent))
-        parts.append(differ + 1)
+        sums = np.arange(max(2 * low, high + partner - 200), high + partner + 1)
+        differ.append(int((sums - 2 * needed_overlap(sums, percent)).max(initial=0)))
+        # parts have about low / m shingles, with the spread of a Poisson distribution
+        m = differ[-1] + 1
+        least.append(max(1, low // m // 3))
+        small = 0.0
+        for _ in range(4):
+            mean = low / (m + small)
+            term, below = np.exp(-mean), 0.0
+            for k in range(least[-1]):
+                below += term
+                term *= mean / (k + 1)
+            expected = below * (m + small)
+            small = float(np.ceil(expected + 3 * np.sqrt(expected))) if m > 1 else 0.0
+        spare.append(int(small))
     # the next band must hold all partners
-    for k in range(len(parts) - 1):
-        last_of_next = starts[k + 2] - 1
-        assert (starts[k + 1] - 1) * 100 // percent <= last_of_next
-    return starts, parts
+    for k in range(len(differ) - 1):
+        assert (starts[k + 1] - 1) * 100 // percent <= starts[k + 2] - 1
+    return starts, differ, least, spare
 
 
 def shingle_set(text: str | None, n: int = 3) -> np.ndarray:
@@ -78,28 +99,37 @@ def shingle_set(text: str | None, n: int = 3) -> np.ndarray:
 
 
 def block_keys(s: np.ndarray, percent: int) -> np.ndarray:
-    """Keys under which a set is listed; linked sets have one in common."""
+    """Keys under which a set is listed; linked sets have one in common.
+
+    With `spare` parts more than shingles can differ, linked sets agree on spare + 1 parts. If one of
+    them has no more than `spare` small parts, they agree on one that both list; else both go on to
+    the next split.
+    """
     n = len(s)
-    most = 1 << max(10, int(n * 1.3).bit_length())
-    starts, parts = size_bands(percent, most)
+    starts, differ, least, spare = size_bands(percent, 1 << max(10, int(n * 1.3).bit_length()))
     band = int(np.searchsorted(starts, n, side="right")) - 1
-    schemes = [parts[band]]
+    bands = [band]
     if band and n * percent <= 100 * (starts[band] - 1):
-        schemes.append(parts[band - 1])
-    bands = [band, band - 1]
-    mixed = mix(s ^ _PART)
+        bands.append(band - 1)
     keys = []
-    for m, b in zip(schemes, bands, strict=False):
-        label = mix(np.uint64([b])) * _SIZE
-        part = (mixed % np.uint64(m)).astype(np.int64)
-        total = np.zeros(m, np.uint64)
-        np.add.at(total, part, mixed)
-        filled = np.bincount(part, minlength=m) > 0
-        own = mix(total + np.arange(m, dtype=np.uint64) * _PART + label)
-        keys.append(own[filled])
-        if not filled.all():
-            prefix = n - -(-percent * n // 100) + 1
-            keys.append(mix(np.sort(mixed)[:prefix] ^ _PREFIX ^ label))
+    for b in bands:
+        extra = spare[b]
+        for split in range(SPLITS + 1):
+            label = mix(np.uint64([b * (SPLITS + 1) + split])) * _SIZE
+            if split == SPLITS:
+                prefix = n - -(-percent * n // 100) + 1
+                keys.append(mix(np.sort(mix(s ^ _PREFIX))[:prefix] ^ label))
+                break
+            m = differ[b] + 1 + extra
+            mixed = mix(s ^ (_PART + label))
+            part = (mixed % np.uint64(m)).astype(np.int64)
+            total = np.zeros(m, np.uint64)
+            np.add.at(total, part, mixed)
+            listed = np.bincount(part, minlength=m) >= least[b]
+            keys.append(mix(total + np.arange(m, dtype=np.uint64) * _PART + label)[listed])
+            if m - listed.sum() <= extra:
+                break
+            extra += 2 + extra // 4
     return np.unique(np.concatenate(keys))
 
 
@@ -110,49 +140,91 @@ def node_of(s: np.ndarray) -> int:
     return int(mix(np.uint64([x])).view(np.int64)[0])
 
 
-def divide_skip(index: list[np.ndarray], queries: list[np.ndarray], percent: int, long_list: int = 4096) -> list[np.ndarray]:
-    """For each query set, the indexed sets that it links with (T-occurrence search).
-
-    A list counts as long over `long_list` entries: about what one binary-search call costs when lists
-    are merged by counting. At most T - 1 lists are long, so every answer occurs in a short one.
-    """
-    sizes = np.array([len(s) for s in index], np.int64)
-    if not len(index):
-        return [np.empty(0, np.int64) for _ in queries]
-    tokens = np.concatenate(index)
-    owners = np.repeat(np.arange(len(index)), sizes)
-    order = np.argsort(tokens, kind="stable")
-    tokens, owners = tokens[order], owners[order]  # an inverted list is a run, ascending by owner
-    found = []
-    for q in queries:
-        n = len(q)
-        fewest = -(-percent * n // 100)  # T for the smallest possible partner
-        low = np.searchsorted(tokens, q, side="left")
-        length = np.searchsorted(tokens, q, side="right") - low
-        used = length > 0
-        if used.sum() < fewest:
-            found.append(np.empty(0, np.int64))
-            continue
+class InvertedLists:
+    """For each shingle the sets that hold it, ascending; sets that were taken leave the lists."""
+
+    def __init__(self, sets: list[np.ndarray], percent: int):
+        self.percent = percent
+        self.sizes = np.array([len(s) for s in sets], np.int64)
+        every, token = np.unique(np.concatenate([np.empty(0, np.uint64), *sets]), return_inverse=True)
+        ends = np.cumsum(self.sizes)
+        self.tokens = [token[b - n : b] for b, n in zip(ends.tolist(), self.sizes.tolist(), strict=True)]
+        self.left = np.ones(len(sets), bool)
+        owner = np.repeat(np.arange(len(sets), dtype=np.int32), self.sizes)
+        order = np.argsort(token, kind="stable")
+        self.owners, self.of = owner[order], token[order].astype(np.int32)
+        self.many = len(every)
+        self._index()
+
+    def _index(self) -> None:
+        self.starts = np.concatenate([[0], np.cumsum(np.bincount(self.of, minlength=self.many))])
+        self.held = int(self.left.sum())
+
+    def take(self, which: np.ndarray) -> None:
+        self.left[which] = False
+        if int(self.left.sum()) * 2 < self.held:
+            stays = self.left[self.owners]
+            self.owners, self.of = self.owners[stays], self.of[stays]
+            self._index()
+
+    def search(self, x: int, mu: float = MU, heap_entries: int = HEAP_ENTRIES) -> np.ndarray:
+        """The sets still in the lists that link with set x (T-occurrence search by DivideSkip)."""
+        n = int(self.sizes[x])
+        fewest = -(-self.percent * n // 100)  # T for the smallest possible partner
+        tokens = self.tokens[x]
+        low = self.starts[tokens]
+        length = self.starts[tokens + 1] - low
+        used = np.flatnonzero(length)
+        none = np.empty(0, np.int64)
+        if len(used) < fewest:
+            return none
+        used = used[np.argsort(length[used], kind="stable")]
         low, length = low[used], length[used]
-        long = np.flatnonzero(length > long_list)
-        long = long[np.argsort(-length[long], kind="stable")][: max(0, fewest - 1)]
-        is_short = np.ones(len(length), bool)
-        is_short[long] = False
-        # merge of the short lists: positions of all their entries, counted by owner
-        first, many = low[is_short], length[is_short]
-        at = np.repeat(first - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum())
-        count = np.bincount(owners[at], minlength=len(index))
-        cand = np.flatnonzero(count >= max(1, fewest - len(long)))
-        cand = cand[(sizes[cand] * 100 >= percent * n) & (n * 100 >= percent * sizes[cand])]
-        shared = count[cand]
-        for i in long[::-1]:
+        long = min(fewest - 1, int(fewest / (mu * np.log2(max(2, length[-1])) + 1)))
+        short = len(used) - long
+        lists = [self.owners[a : a + k] for a, k in zip(low.tolist(), length.tolist(), strict=True)]
+        if length[:short].sum() <= heap_entries:
+            merged = heapq.merge(*[x.tolist() for x in lists[:short]])
+            found = [(i, sum(1 for _ in run)) for i, run in groupby(merged)]
+            found = [(i, k) for i, k in found if k >= fewest - long]
+            if not found:
+                return none
+            cand, shared = (np.array(c, np.int64) for c in zip(*found, strict=True))
+        else:
+            count = np.bincount(np.concatenate(lists[:short]), minlength=len(self.sizes))
+            cand = np.flatnonzero(count >= fewest - long)
+            shared = count[cand]
+        size = self.sizes[cand]
+        fits = self.left[cand] & (cand != x) & (size * 100 >= self.percent * n) & (n * 100 >= self.percent * size)
+        cand, shared = cand[fits], shared[fits]
+        needed = needed_overlap(n + self.sizes[cand], self.percent)
+        for k in range(short, len(lists)):
+            # what cannot reach its overlap any more is not looked up
+            hopes = shared + (len(lists) - k) >= needed
+            cand, shared, needed = cand[hopes], shared[hopes], needed[hopes]
             if not len(cand):
-                break
-            here = owners[low[i] : low[i] + length[i]]
+                return none
+            here = lists[k]
             spot = np.searchsorted(here, cand)
-            shared = shared + ((spot < len(here)) & (here[np.minimum(spot, len(here) - 1)] == cand))
-        found.append(cand[100 * shared >= percent * (n + sizes[cand] - shared)])
-    return found
+            shared = shared + (here[np.minimum(spot, len(here) - 1)] == cand)
+        return cand[shared >= needed]
+
+
+def spanning_links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links that connect what all links among the sets connect."""
+    lists, links = InvertedLists(sets, percent), []
+    for first in range(len(sets)):
+        if not lists.left[first]:
+            continue
+        lists.take(np.array([first]))
+        open_ = [first]
+        while open_ and lists.left.any():
+            x = open_.pop()
+            found = lists.search(x)
+            lists.take(found)
+            links += [(x, y) for y in found.tolist()]
+            open_ += found.tolist()
+    return links
 
 
 def _nodes(n: int):
@@ -173,8 +245,11 @@ def _nodes(n: int):
 
 def _postings(n: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()  # copies of a set within a task
         for batch in batches:
-            keys, nodes, seen = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], set()
+            keys, nodes = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+            if len(seen) > 200_000:
+                seen.clear()
             for text in batch["text"].to_pylist():
                 s = shingle_set(text, n)
                 if len(s) and (node := node_of(s)) not in seen:
@@ -186,52 +261,49 @@ def _postings(n: int, percent: int):
     return run
 
 
+_CELL = ("block", "i", "j")
+
+
 def _sets(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, sets = [], []
-            for node, text in zip(batch["node"].to_pylist(), batch["text"].to_pylist(), strict=True):
+            rows, sets = [], []
+            for k, (node, text) in enumerate(zip(batch["node"].to_pylist(), batch["text"].to_pylist(), strict=True)):
                 s = shingle_set(text, n)
                 if len(s) and node_of(s) == node:  # another row of the same doc_id has another set
-                    nodes.append(node)
+                    rows.append(k)
                     sets.append(s.view(np.int64))
-            ends = np.cumsum([0, *map(len, sets)])
             flat = pa.array(np.concatenate([np.empty(0, np.int64), *sets]))
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)], ["node", "shingles"])
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]), pa.int32()), flat)
+            kept = batch.select([*_CELL, "node"]).take(pa.array(rows, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*kept.columns, lists], [*_CELL, "node", "shingles"])
 
     return run
 
 
 def _search(percent: int):
-    """Links between components in one cell of a block: a chunk of open members, which are outside the
-    component of the block's own nodes, is looked for in a chunk of all members.
+    """Links in each cell; rows come sorted by cell, one cell is held at a time."""
 
-    Links inside a component are not needed twice.
-    """
+    def links(nodes: list[int], sets: list[np.ndarray]) -> pa.RecordBatch:
+        found = [(nodes[i], nodes[j]) for i, j in spanning_links(sets, percent) if nodes[i] != nodes[j]] if len(nodes) > 1 else []
+        a, b = zip(*found, strict=True) if found else ((), ())
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        sets = [np.sort(s.astype(np.int64).view(np.uint64)) for s in frame["shingles"]]
-        asks, index = np.flatnonzero(frame["asks"]), np.flatnonzero(~frame["asks"])
-        node = frame["node"].to_numpy()
-        names, label = np.unique(frame["component"].to_numpy(), return_inverse=True)
-        joined = list(range(len(names)))
-
-        def root(x: int) -> int:
-            while joined[x] != x:
-                joined[x] = joined[joined[x]]
-                x = joined[x]
-            return x
-
-        out = []
-        hits = divide_skip([sets[i] for i in index], [sets[i] for i in asks], percent)
-        for i, others in zip(asks.tolist(), hits, strict=True):
-            other = index[others]
-            for j in other[label[other] != label[i]].tolist():
-                a, b = root(label[i]), root(label[j])
-                if a != b:
-                    joined[a] = b
-                    out.append((node[i], node[j]))
-        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, nodes, sets = None, [], []
+        for batch in batches:
+            flat = batch["shingles"].values.to_numpy().view(np.uint64)
+            at = batch["shingles"].offsets.to_pylist()
+            columns = [batch[c].to_pylist() for c in (*_CELL, "node")]
+            for k, (*own, node) in enumerate(zip(*columns, strict=True)):
+                if own != cell:
+                    if len(nodes) > 1:
+                        yield links(nodes, sets)
+                    cell, nodes, sets = own, [], []
+                nodes.append(node)
+                sets.append(flat[at[k] : at[k + 1]].copy())
+        if nodes:
+            yield links(nodes, sets)
 
     return run
 
@@ -239,74 +311,42 @@ def _search(percent: int):
 def similar_nodes(docs: DataFrame, nodes: DataFrame, percent: int, n: int, chunk_shingles: int) -> DataFrame:
     """Verified links (a, b) between nodes; they connect all linked nodes."""
     spark = docs.sparkSession
-    # keys that several rows have; copies of a set count here and drop out below
+    # keys that several nodes have, each with its smallest node
     postings = text_rows(docs).mapInArrow(_postings(n, percent), "key long, node long")
     live = postings.groupBy("key").agg(F.min("node").alias("center"), F.max("node").alias("other")).where("center < other").select("key", "center")
     live = written(live, "keys")
     release(spark)
-    members = postings.join(live, "key").where("node <> center").groupBy("center", "node").agg(F.count("*").alias("keys"))
-    members = written(members, "members")
-    release(spark)
-
-    # shingle sets of the nodes that stand in a block, each from one of its documents
-    wanted = members.select("node").unionByName(members.select(F.col("center").alias("node"))).distinct()
-    nodes = nodes.withColumn("d", F.coalesce("doc_id", F.lit(NO_ID)))
-    reps = nodes.groupBy("node").agg(F.min("d").alias("d"), F.min("n_shingles").alias("n_shingles"))
-    texts = text_rows(docs).withColumn("d", F.coalesce("doc_id", F.lit(NO_ID)))
-    sets = texts.join(reps.join(wanted, "node"), "d").select("node", "text").mapInArrow(_sets(n), "node long, shingles array<long>")
-    if not nodes.groupBy("node", "d").agg(F.count("*").alias("rows")).where("rows > 1").isEmpty():
-        sets = sets.dropDuplicates(["node"])  # repeated rows of one document
-    sets = written(sets, "sets")
-    release(spark)
-
-    # each member against the node of the block that it shares most keys with
-    nearest = members.groupBy("node").agg(F.max_by("center", F.struct("keys", (-F.col("center")).alias("least"))).alias("center"))
-    common = F.size(F.array_intersect("shingles", "own"))
-    own = sets.select(F.col("node").alias("center"), F.col("shingles").alias("own"))
-    tried = nearest.join(sets, "node").join(own, "center")
-    tried = tried.select("center", "node", common.alias("shared"), (F.size("shingles") + F.size("own")).alias("sizes"))
-    linked = tried.where(100 * F.col("shared") >= percent * (F.col("sizes") - F.col("shared")))
-    known = written(connected_components(linked.select(F.col("center").alias("a"), F.col("node").alias("b"))), "known")
+    members = postings.join(live, "key").where("node <> center").select(F.col("center").alias("a"), F.col("node").alias("b")).distinct()
+    blocks = written(connected_components(members), "blocks").withColumnRenamed("component", "block")
     release(spark)
 
-    # what is left: blocks of one home component together, where some member is in another component
-    label = known.select("node", "component")
-    home = label.select(F.col("node").alias("center"), F.col("component").alias("home"))
-    placed = members.select("center", "node").unionByName(members.select("center", F.col("center").alias("node")).distinct())
-    state = (
-        placed.join(home, "center", "left")
-        .withColumn("home", F.coalesce("home", "center"))
-        .select("home", "node")
-        .distinct()
-        .join(label, "node", "left")
-        .join(reps.select("node", F.col("n_shingles").alias("size")), "node")
-        .select(F.col("home").alias("center"), "node", "size", F.coalesce("component", "node").alias("component"))
-        .withColumn("open", F.col("component") != F.col("center"))
-    )
-    sums = [F.sum("size").alias("all"), F.sum(F.when(F.col("open"), F.col("size"))).alias("asking")]
-    blocks = state.groupBy("center").agg(*sums).where("asking > 0")
-    chunks = [F.ceil(F.col(x) / F.lit(chunk_shingles)).cast("int").alias(y) for x, y in (("all", "rows"), ("asking", "columns"))]
-    state = written(state.join(blocks.select("center", *chunks), "center"), "state")
-    release(spark)
-    # a grid: all members by row, open ones by column; a member goes to every cell of its row or column
-    place = F.xxhash64("node", "center")
-    members_of = state.select(
-        "center", F.pmod(place, "rows").cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("columns") - 1)).alias("j"), "node", "component", F.lit(False).alias("asks")
-    )
-    asking = state.where("open").select(
-        "center", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("i"), F.pmod(place, "columns").cast("int").alias("j"), "node", "component", F.lit(True).alias("asks")
+    # one document of each node; a block is one cell, or one for every two of its chunks
+    reps = nodes.groupBy("node").agg(F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("d"), F.min("n_shingles").alias("size"))
+    placed = written(blocks.join(reps, "node"), "placed")
+    cuts = placed.groupBy("block").agg(F.ceil(F.sum("size") / F.lit(chunk_shingles)).cast("int").alias("cuts"))
+    own = F.pmod(F.xxhash64("node"), "cuts").cast("int")
+    others = F.filter(F.sequence(F.lit(0), F.col("cuts") - 1), lambda x: (x != F.col("own")) | (F.col("cuts") == 1))
+    cells = (
+        placed.join(cuts, "block")
+        .withColumn("own", own)
+        .select("block", "node", "d", "own", F.explode(others).alias("other"))
+        .select("block", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "d")
     )
-    searched = members_of.unionByName(asking).join(sets, "node")
-    more = searched.groupBy("center", "i", "j").applyInPandas(_search(percent), "a long, b long")
-    stars = known.where("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b"))
-    return stars.unionByName(more)
+    cells = written(cells, "cells")
+    texts = text_rows(docs).withColumn("d", F.coalesce("doc_id", F.lit(NO_ID)))
+    few = cells.count() <= BROADCAST_ROWS
+    found = texts.join(F.broadcast(cells) if few else cells, "d").select(*_CELL, "node", "text")
+    sets = found.mapInArrow(_sets(n), "block long, i int, j int, node long, shingles array<long>")
+    dealt = sets.repartition(shuffle_partitions(spark), *_CELL).sortWithinPartitions(*_CELL, "node")
+    return dealt.mapInArrow(_search(percent), "a long, b long")
 
 
-def jaccard_components(docs: DataFrame, percent: int = 90, n: int = 3, chunk_shingles: int = 1_000_000) -> DataFrame:
+def jaccard_components(docs: DataFrame, percent: int = 90, n: int = 3, chunk_shingles: int = 2_000_000) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id that links lead to) of every document.
 
     A null text, or one without a word, has the empty set and links with nothing. A row without a
-    doc_id takes its component from the rows it links with (null if none has an id).
+    doc_id takes its component from the rows it links with (null if none has an id). Repeated rows
+    each get a row.
     """
     spark = docs.sparkSession
     batch_rows(spark, 1000)

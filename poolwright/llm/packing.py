@@ -59,18 +59,18 @@ def tokenized_pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = tokenizer(tokenizer_path)
-        end = end_id.to_bytes(4, "little")
         uid = TaskContext.get().partitionId() << 40
         for batch in batches:
             rows: list[tuple] = []
-            for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
-                ids = tok.encode(text) + end
-                n = len(ids) // 4
+            ids, counts = tok.encode_all(batch["text"].to_pylist(), end_id)
+            at = 0
+            for doc_id, n in zip(batch["doc_id"].to_pylist(), counts.tolist(), strict=True):
                 cut = n if n <= capacity else n % capacity or capacity
                 start, piece = 0, 0
                 while start < n:
-                    rows.append((uid, doc_id, piece, start, cut - start, zlib.crc32(ids[4 * start : 4 * cut])))
+                    rows.append((uid, doc_id, piece, start, cut - start, zlib.crc32(ids[at + start : at + cut])))
                     start, cut, piece, uid = cut, cut + capacity, piece + 1, uid + 1
+                at += n
             columns = list(zip(*rows, strict=True)) or [[]] * 6
             kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays(
@@ -78,7 +78,7 @@ def tokenized_pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity
                 ["uid", "doc_id", "piece", "start", "length", "ids_crc32"],
             )
 
-    batch_rows(docs.sparkSession, 1000)
+    batch_rows(docs.sparkSession, 500)
     return text_rows(docs).mapInArrow(pieces, "uid long, doc_id long, piece int, start long, length long, ids_crc32 long")
 
 

@@ -1,12 +1,12 @@
 """Token-ID binary output: Simple-8b files in document order, and their reader.
 
 A file holds one segment: consecutive documents of one range partition, in ascending doc_id. The
-files go through Spark's own committer (one binary record a file), so they can be in any file
-system that Spark writes, and lost or repeated tasks leave no half files.
+files go through Spark's own Parquet committer (one row with one binary column a file), so they can
+be in any file system that Spark writes, and lost or repeated tasks leave no half files.
 
-Layout, little-endian: magic ``PWS8``, 8 header integers (part, ids before in the part, documents,
-ids, words, blocks, raw words, 0) as int64; doc_id as int64; 1 byte a document for a null doc_id;
-tokens a document as uint32; block offsets, raw words and words as uint64. A line end follows.
+Layout of the binary, little-endian: magic ``PWS8``, 8 header integers (part, ids before in the part,
+documents, ids, words, blocks, raw words, 0) as int64; doc_id as int64; 1 byte a document for a null
+doc_id; tokens a document as uint32; block offsets, raw words and words as uint64.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from .tokens import tokenizer
 
 MAGIC = b"PWS8"
 #: ids after which a segment is closed; a document is never divided
-SEGMENT_IDS = 4_000_000
+SEGMENT_IDS = 2_000_000
 
 
 def pack_segment(part: int, before: int, doc_ids: list[int | None], counts: list[int], ids: np.ndarray) -> bytes:
@@ -76,36 +76,41 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, before = TaskContext.get().partitionId(), 0
         tok = tokenizer(tokenizer_path)
-        end = b"" if end_id is None else end_id.to_bytes(4, "little")
-        doc_ids, counts, ids = [], [], []
+        doc_ids, counts, ids, held = [], [], [], 0
 
         def closed() -> pa.RecordBatch:
-            nonlocal before
-            values = np.frombuffer(b"".join(ids), "<u4").astype(np.uint64)
+            nonlocal before, held
+            values = np.concatenate([np.empty(0, "<u4"), *ids])
             data = pack_segment(part, before, doc_ids, counts, values)
             before += len(values)
+            held = 0
             for x in (doc_ids, counts, ids):
                 x.clear()
             return pa.RecordBatch.from_pydict({"payload": pa.array([data], pa.binary())})
 
-        held = 0
         for batch in batches:
-            for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
-                own = tok.encode(text) + end
-                doc_ids.append(doc_id)
-                counts.append(len(own) // 4)
-                ids.append(own)
-                held += len(own) // 4
+            flat, many = tok.encode_all(batch["text"].to_pylist(), end_id)
+            ends = np.cumsum(many)
+            at, from_id = 0, 0
+            # a segment is closed with the document that fills it
+            while at < len(many):
+                stop = int(np.searchsorted(ends, from_id + segment_ids - held)) + 1
+                stop = min(stop, len(many))
+                to_id = int(ends[stop - 1])
+                doc_ids += batch["doc_id"].slice(at, stop - at).to_pylist()
+                counts += many[at:stop].tolist()
+                ids.append(flat[from_id:to_id])
+                held += to_id - from_id
+                at, from_id = stop, to_id
                 if held >= segment_ids:
                     yield closed()
-                    held = 0
         if doc_ids:
             yield closed()
 
-    batch_rows(docs.sparkSession, 1000)
+    batch_rows(docs.sparkSession, 500)
     ordered = text_rows(docs).repartitionByRange(shuffle_partitions(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", "text")
-    payload = ordered.mapInArrow(segments, "payload binary").select(F.col("payload").cast("string").alias("value"))
-    payload.write.option("maxRecordsPerFile", 1).text(path)
+    files = ordered.mapInArrow(segments, "payload binary").write.option("maxRecordsPerFile", 1)
+    files.option("compression", "none").parquet(path)
 
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
@@ -113,7 +118,7 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
 
     def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for data in batch["content"]:
+            for data in batch["payload"]:
                 part, before, doc_ids, counts, ids = unpack_segment(data.as_py())
                 flat = ids.astype("<u4")
                 ends = np.cumsum(counts, dtype=np.int64)
@@ -129,7 +134,7 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
                     }
                 )
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(path).where("length > 0").select("content")
+    files = spark.read.schema("payload binary").parquet(path)
     return files.mapInArrow(documents, "doc_id long, part int, start_in_part long, n_tokens long, ids_crc32 long")
 
 

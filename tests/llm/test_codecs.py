@@ -8,6 +8,7 @@ import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from tokenizers import Tokenizer
 
 from poolwright.llm import pii, simple8b, substring_dedup
 from poolwright.llm.common import word_hashes
@@ -16,6 +17,8 @@ from poolwright.llm.tokens import ChunkTokenizer
 
 NAMES = ("byte_bpe_50k.json", "word_bpe_49k.json")
 TOKENIZERS = {n: ChunkTokenizer(public_tokenizers.path(n)) for n in NAMES}
+#: the library as it comes
+LIBRARY = {n: Tokenizer.from_file(public_tokenizers.path(n)) for n in NAMES}
 
 
 @given(st.lists(st.integers(0, 2**64 - 1) | st.integers(0, 60_000) | st.integers(0, 1), max_size=300))
@@ -37,23 +40,40 @@ def test_simple8b_blocks(n):
         assert (simple8b.decode(part, np.array([0, len(part)], np.uint64), np.empty(0, np.uint64), len(own)) == own).all()
 
 
-ODD = st.text(alphabet="ab Z.,'’\n\t\x0b\x1c\x85\xa0 éÀß½²İΣ日*$|9-_", max_size=40) | st.text(max_size=20)
+ODD = st.lists(
+    st.text(alphabet="ab Z.,'’\n\t\x0b\x1c\x85\xa0 éÀß½²İΣ日*$|9-_\x00\x01\x02", max_size=12)
+    | st.sampled_from(["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", " ", "the", " don't", "\n"])
+    | st.text(max_size=8),
+    max_size=8,
+).map("".join)
 
 
 @pytest.mark.parametrize("name", NAMES)
-@given(text=ODD)
+@given(texts=st.lists(st.none() | ODD, max_size=5))
 @settings(deadline=None, max_examples=400)
-def test_ids_are_the_librarys(name, text):
-    tok = TOKENIZERS[name]
-    want = tok.tokenizer.encode(text, add_special_tokens=False).ids
-    assert np.frombuffer(tok.encode(text), "<u4").tolist() == want
+def test_ids_are_the_librarys(name, texts):
+    ids, counts = TOKENIZERS[name].encode_all(texts, end_id=9)
+    want = [[*LIBRARY[name].encode(t or "", add_special_tokens=False).ids, 9] for t in texts]
+    assert counts.tolist() == list(map(len, want))
+    assert ids.tolist() == [i for w in want for i in w]
 
 
 @pytest.mark.parametrize("name", NAMES)
 def test_ids_of_documents(name):
-    tok = TOKENIZERS[name]
-    for (text,) in duckdb.sql("SELECT text FROM '/root/testdata/sf0.001/documents.parquet'").fetchall():
-        assert np.frombuffer(tok.encode(text), "<u4").tolist() == tok.tokenizer.encode(text, add_special_tokens=False).ids
+    texts = [t for (t,) in duckdb.sql("SELECT text FROM '/root/testdata/sf0.001/documents.parquet'").fetchall()]
+    ids, counts = TOKENIZERS[name].encode_all(texts)
+    want = [LIBRARY[name].encode(t, add_special_tokens=False).ids for t in texts]
+    assert counts.tolist() == list(map(len, want)) and ids.tolist() == [i for w in want for i in w]
+
+
+def test_a_full_cache_changes_nothing(monkeypatch):
+    monkeypatch.setattr("poolwright.llm.tokens.CHUNK_ENTRIES", 40)
+    monkeypatch.setattr("poolwright.llm.tokens.RENEW_AFTER", 300)
+    tok = ChunkTokenizer(public_tokenizers.path(NAMES[0]))
+    for k in range(30):
+        text = " ".join(f"w{k}x{i % 37} and" for i in range(60))
+        assert tok.encode(text) == LIBRARY[NAMES[0]].encode(text, add_special_tokens=False).ids
+    assert len(tok.chunks) <= 41
 
 
 PIECES = st.lists(

@@ -20,7 +20,7 @@ def _rows():
     rng = random.Random(1)
     say = lambda n: " ".join(rng.choice(["alpha", "beta", "gamma", "delta", "eps", "zeta"]) + str(rng.randrange(40)) for _ in range(n))
     base = say(120)
-    texts = [base, base, base + " tail", say(3), "", None, " \n\t ", "a", "x" * 60_000, say(4_000), "línea única " * 300, say(40) + "\n" + base, base.upper(), "日本 語 " * 30, "a  b\n \n c"]
+    texts = [base, base, base + " tail", say(3), "", None, " \n\t ", "a", "x" * 60_000, say(4_000), "línea única " * 300, say(40) + "\n" + base, base.upper(), "日本 語 " * 30, "a  b\n \n c", "an end <|endoftext|> and <|startoftext|> a start"]
     rows = [(i, t, "en" if i % 3 else None, None if i % 4 == 0 else f"s{i % 3}") for i, t in enumerate(texts)]
     rows += [(0, base, "en", None), (3, say(90), "de", "s1"), (None, base, None, None), (None, None, None, None), (10**12, say(50), "fr", "s2")]
     return [(*r, None if r[1] is None else len(r[1]), "x", 1, "y", 2, 3, "p", "q") for r in rows]
@@ -171,13 +171,32 @@ def test_jaccard_near_the_threshold(spark, seed):
     assert _sorted(jaccard_join.jaccard_components(df, chunk_shingles=500).collect()) == _sorted(_jaccard(rows))
 
 
-def test_search_with_long_lists():
+@pytest.mark.parametrize("percent", [80, 90])
+def test_search_with_long_lists(percent):
     rng = np.random.default_rng(1)
     sets = [np.unique(rng.integers(0, 400, 60).astype(np.uint64)) for _ in range(150)]
     sets += [np.unique(np.concatenate([s[:-2], np.uint64([999])])) for s in sets[:60]]
-    plain = [[j for j, s in enumerate(sets) if 100 * len(np.intersect1d(q, s)) >= 80 * len(np.union1d(q, s))] for q in sets]
-    for long_list in (0, 5, 4096):
-        assert [x.tolist() for x in jaccard_join.divide_skip(sets, sets, 80, long_list)] == plain
+    plain = [[j for j, s in enumerate(sets) if j != i and 100 * len(np.intersect1d(q, s)) >= percent * len(np.union1d(q, s))] for i, q in enumerate(sets)]
+    lists = jaccard_join.InvertedLists(sets, percent)
+    for mu in (0.01, 1.0, 100.0):
+        for entries in (0, 50, 10**9):
+            assert [lists.search(x, mu, entries).tolist() for x in range(len(sets))] == plain
+    lists.take(np.arange(0, len(sets), 3))
+    assert [lists.search(x).tolist() for x in range(len(sets))] == [[j for j in own if j % 3] for own in plain]
+    assert jaccard_join.spanning_links([], percent) == []
+
+
+@pytest.mark.parametrize(("percent", "n"), [(90, 3), (80, 5)])
+def test_linked_sets_share_a_key(percent, n):
+    rng = np.random.default_rng(n)
+    for size in (1, 2, 4, 7, 10, 15, 30, 70, 200, 700, 3000):
+        for _ in range(60):
+            base = np.unique(rng.integers(0, 2**63, size, dtype=np.uint64))
+            # the two sets are as far apart as a link allows
+            more = rng.integers(0, 2**63, size, dtype=np.uint64)[: int(rng.integers(0, size * (100 - percent) // 100 + 1))]
+            most = [k for k in range(size + 1) if 100 * (size - k) >= percent * (size + len(more))]
+            other = np.unique(np.concatenate([base[most[-1] :], more]))
+            assert len(np.intersect1d(jaccard_join.block_keys(base, percent), jaccard_join.block_keys(other, percent)))
 
 
 def test_mixing(docs, rows):
@@ -211,7 +230,6 @@ def test_packing(docs, rows):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(BYTES)
-    tok.encode_special_tokens = True
     for capacity, per_node in ((64, 3), (1024, 50_000)):
         pieces = packing.tokenized_pieces(docs, BYTES, 2, capacity).cache()
         placed = pieces.join(packing.pack(pieces.select("uid", "length"), capacity, items_per_node=per_node), "uid").collect()

@@ -44,7 +44,7 @@ def test_one_document_of_each_group(outputs):
         out = {}
         for r in rows:
             w = r["text"].encode().lower().split()
-            out[r["doc_id"]] = frozenset(tuple(w[i : i + 3]) for i in range(len(w) - 2)) or frozenset([tuple(w)])
+            out[r["doc_id"]] = frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) or frozenset([tuple(w)])
         return out
 
     before = sets(r for r in outputs[1].collect() if r["doc_id"] is not None)
@@ -59,7 +59,7 @@ def test_one_document_of_each_group(outputs):
     for i, a in enumerate(ids):
         for b in ids[:i]:
             x, y = before[a], before[b]
-            if 100 * len(x & y) >= 90 * len(x | y):
+            if 100 * len(x & y) >= 80 * len(x | y):
                 p, q = root(a), root(b)
                 parent[max(p, q)] = min(p, q)
     kept = sorted(r["doc_id"] for r in outputs[2].collect() if r["doc_id"] is not None)
