@@ -64,15 +64,13 @@ def gram_hashes(h: np.ndarray, n: int) -> np.ndarray:
 BATCH_BYTES = 8 << 20
 
 
-def batch_rows(spark: SparkSession, rows: int) -> None:
+def batch_rows(spark: SparkSession, rows: int, size: int = BATCH_BYTES) -> None:
     """Bound the Arrow batches that carry whole texts, by rows and by bytes.
 
-    These are settings of the session, read when the plan runs, and stay set. Lower ones are left.
+    These are settings of the session, read when the plan runs, and stay until the next operator's.
     """
-    for key, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", BATCH_BYTES)):
-        now = spark.conf.get(f"spark.sql.execution.arrow.{key}").lower().removesuffix("b")
-        if not (now.isdigit() and 0 < int(now) <= most):
-            spark.conf.set(f"spark.sql.execution.arrow.{key}", str(most))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
 
 
 def text_rows(docs: DataFrame, *more: str) -> DataFrame:

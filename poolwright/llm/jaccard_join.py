@@ -4,12 +4,12 @@ A document is its set of word shingles; two link when the sets' Jaccard similari
 threshold. Documents with equal sets are one node.
 
 Blocks say which nodes an inverted index holds together. Nodes of similar size split the universe of
-shingles into m parts by hash, with a few parts more than the most shingles in which two linked sets
+shingles into m parts by hash, with some parts more than the most shingles in which two linked sets
 of that size can differ. Linked sets then agree on several whole parts, so every node is listed under
-the hashes of its parts and two linked nodes meet under one key at least. Parts of very few shingles
-are not listed, as unrelated texts share those; the parts to spare make up for them, and a node that
-has too few to spare also lists the parts of a finer split. Nodes that keys connect are one block; no
-pair within a key is listed, only each node with the key's smallest one.
+the hashes of its parts and linked nodes share a known number of keys at least. A node that shares
+fewer of its keys with others has no link and leaves, and with it what it shared; two rounds of this
+undo nearly all chance meetings. Nodes that the keys left connect are one block; no pair within a key
+is listed, only each node with the key's smallest one.
 
 Search. Links are found by T-occurrence search alone: a block has an inverted list of nodes for each
 shingle, and a node links with those that stand in T of its lists, T being the overlap that the
@@ -31,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from poolwright.operators.graph import connected_components
 
@@ -40,6 +41,9 @@ from .common import batch_rows, encoded, gram_hashes, mix, release, shuffle_part
 NO_ID = 2**63 - 1
 #: finer splits that a node with too many small parts tries before it lists single shingles
 SPLITS = 6
+NEED = 1 << 20
+#: rounds in which nodes with too few shared keys leave
+PRUNINGS = 2
 #: cost of a look-up against that of merging an entry (the mu of DivideSkip)
 MU = 1.0
 #: entries of the short lists up to which they go over a heap
@@ -98,12 +102,13 @@ def shingle_set(text: str | None, n: int = 3) -> np.ndarray:
     return np.unique(gram_hashes(h, min(n, len(h))) + np.uint64(min(n, len(h))))
 
 
-def block_keys(s: np.ndarray, percent: int) -> np.ndarray:
-    """Keys under which a set is listed; linked sets have one in common.
+def block_keys(s: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys under which a set is listed, and a tag of each: its split, and how many keys of this split the
+    set shares with any set that it links with (split * NEED + that number).
 
     With `spare` parts more than shingles can differ, linked sets agree on spare + 1 parts. If one of
-    them has no more than `spare` small parts, they agree on one that both list; else both go on to
-    the next split.
+    them has no more than `spare` small parts, which are not listed, they agree on one that both list;
+    else both go on to the next split.
     """
     n = len(s)
     starts, differ, least, spare = size_bands(percent, 1 << max(10, int(n * 1.3).bit_length()))
@@ -111,26 +116,31 @@ def block_keys(s: np.ndarray, percent: int) -> np.ndarray:
     bands = [band]
     if band and n * percent <= 100 * (starts[band] - 1):
         bands.append(band - 1)
-    keys = []
-    for b in bands:
+    keys, tags = [], []
+    for k, b in enumerate(bands):
         extra = spare[b]
         for split in range(SPLITS + 1):
             label = mix(np.uint64([b * (SPLITS + 1) + split])) * _SIZE
+            need = 1
             if split == SPLITS:
                 prefix = n - -(-percent * n // 100) + 1
-                keys.append(mix(np.sort(mix(s ^ _PREFIX))[:prefix] ^ label))
-                break
-            m = differ[b] + 1 + extra
-            mixed = mix(s ^ (_PART + label))
-            part = (mixed % np.uint64(m)).astype(np.int64)
-            total = np.zeros(m, np.uint64)
-            np.add.at(total, part, mixed)
-            listed = np.bincount(part, minlength=m) >= least[b]
-            keys.append(mix(total + np.arange(m, dtype=np.uint64) * _PART + label)[listed])
-            if m - listed.sum() <= extra:
+                own = mix(np.sort(mix(s ^ _PREFIX))[:prefix] ^ label)
+            else:
+                m = differ[b] + 1 + extra
+                mixed = mix(s ^ (_PART + label))
+                part = (mixed % np.uint64(m)).astype(np.int64)
+                total = np.zeros(m, np.uint64)
+                np.add.at(total, part, mixed)
+                listed = np.bincount(part, minlength=m) >= least[b]
+                own = mix(total + np.arange(m, dtype=np.uint64) * _PART + label)[listed]
+                small = m - int(listed.sum())
+                need = max(1, extra + 1 - small)
+            keys.append(own)
+            tags.append(np.full(len(own), (k * (SPLITS + 1) + split) * NEED + min(need, NEED - 1), np.int32))
+            if split == SPLITS or small <= extra:
                 break
             extra += 2 + extra // 4
-    return np.unique(np.concatenate(keys))
+    return np.concatenate(keys), np.concatenate(tags)
 
 
 def node_of(s: np.ndarray) -> int:
@@ -247,16 +257,19 @@ def _postings(n: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # copies of a set within a task
         for batch in batches:
-            keys, nodes = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+            keys, nodes, tags = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], [np.empty(0, np.int32)]
             if len(seen) > 200_000:
                 seen.clear()
             for text in batch["text"].to_pylist():
                 s = shingle_set(text, n)
                 if len(s) and (node := node_of(s)) not in seen:
                     seen.add(node)
-                    keys.append(block_keys(s, percent))
-                    nodes.append(np.full(len(keys[-1]), node, np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(nodes))], ["key", "node"])
+                    own, tag = block_keys(s, percent)
+                    keys.append(own)
+                    nodes.append(np.full(len(own), node, np.int64))
+                    tags.append(tag)
+            columns = [np.concatenate(keys).view(np.int64), np.concatenate(nodes), np.concatenate(tags)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "node", "tag"])
 
     return run
 
@@ -311,12 +324,20 @@ def _search(percent: int):
 def similar_nodes(docs: DataFrame, nodes: DataFrame, percent: int, n: int, chunk_shingles: int) -> DataFrame:
     """Verified links (a, b) between nodes; they connect all linked nodes."""
     spark = docs.sparkSession
-    # keys that several nodes have, each with its smallest node
-    postings = text_rows(docs).mapInArrow(_postings(n, percent), "key long, node long")
-    live = postings.groupBy("key").agg(F.min("node").alias("center"), F.max("node").alias("other")).where("center < other").select("key", "center")
-    live = written(live, "keys")
+    # keys that several rows have (copies of a set too), then the nodes that share enough of theirs
+    postings = text_rows(docs).mapInArrow(_postings(n, percent), "key long, node long, tag int")
+    live = written(postings.groupBy("key").agg(F.count("*").alias("rows")).where("rows > 1").select("key"), "keys")
+    release(spark)
+    rows = written(postings.join(live, "key").distinct(), "postings")
     release(spark)
-    members = postings.join(live, "key").where("node <> center").select(F.col("center").alias("a"), F.col("node").alias("b")).distinct()
+    own = Window.partitionBy("node", "tag")  # no more rows than a text has keys
+    for _ in range(PRUNINGS):
+        rows = rows.withColumn("have", F.count("*").over(own)).where(F.col("have") >= F.col("tag") % F.lit(NEED)).drop("have")
+        shared = rows.groupBy("key").agg(F.min("node").alias("center"), F.max("node").alias("other")).where("center < other")
+        rows = written(rows.join(shared.select("key", "center"), "key").select("key", "node", "tag", "center"), "postings")
+        release(spark)
+        members = rows.where("node <> center").select(F.col("center").alias("a"), F.col("node").alias("b")).distinct()
+        rows = rows.drop("center")
     blocks = written(connected_components(members), "blocks").withColumnRenamed("component", "block")
     release(spark)
 

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from . import simple8b
 from .common import batch_rows, fresh_path, shuffle_partitions, text_rows, written
-from .tokens import tokenizer
+from .tokens import BATCH_BYTES, BATCH_ROWS, tokenizer
 
 MAGIC = b"PWS8"
 #: ids after which a segment is closed; a document is never divided
@@ -107,7 +107,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
         if doc_ids:
             yield closed()
 
-    batch_rows(docs.sparkSession, 500)
+    batch_rows(docs.sparkSession, BATCH_ROWS, BATCH_BYTES)
     ordered = text_rows(docs).repartitionByRange(shuffle_partitions(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", "text")
     files = ordered.mapInArrow(segments, "payload binary").write.option("maxRecordsPerFile", 1)
     files.option("compression", "none").parquet(path)

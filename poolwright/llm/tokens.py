@@ -25,6 +25,8 @@ import pyarrow.compute as pc
 CHUNK_ENTRIES = 400_000
 #: Lookups after which the share of misses decides whether a full cache starts anew.
 RENEW_AFTER = 2_000_000
+#: Rows and bytes of a batch of texts: the larger, the more chunks it has in common.
+BATCH_ROWS, BATCH_BYTES = 4_000, 12 << 20
 #: Longer pieces are encoded without being kept.
 KEPT_CHARS = 48
 #: Characters that go to the library in one call.
@@ -66,6 +68,8 @@ class ChunkTokenizer:
         self.opens[[i for t, i in vocabulary.items() if t.startswith("Ġ")]] = True
         self.word_ends = np.zeros(len(self.opens), bool)
         self.word_ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        #: whether letter case is lost anyway, so that chunks may differ in it
+        self.lowers = self.tokenizer.encode("A", add_special_tokens=False).ids == self.tokenizer.encode("a", add_special_tokens=False).ids
         self.chunks: dict[str, bytes] = {"": b""}
         self.looked_up = self.missed = 0
 
@@ -124,6 +128,8 @@ class ChunkTokenizer:
             return ""
         if self.whole or _SEP in text or _FIRST in text or any(s in text for s in self.special):
             return None
+        if self.lowers and text.isascii():
+            text = text.lower()
         return _FIRST + (text.replace(" ", _SEP) if _plain(text) else _CUT.sub(_SEP, text))
 
     def encode_all(self, texts: Sequence[str | None], end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -155,7 +161,10 @@ class ChunkTokenizer:
                 self.chunks = {"": b""}
             self.looked_up = self.missed = 0
         n = length[index]
-        ids = flat[np.repeat(start[index] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        kind = np.int32 if max(len(flat), n.sum()) < 1 << 31 else np.int64
+        at = np.repeat((start[index] - (np.cumsum(n) - n)).astype(kind), n)
+        at += np.arange(len(at), dtype=kind)
+        ids = flat[at]
         return ids, np.add.reduceat(n, first[:-1])
 
     def encode(self, text: str | None) -> list[int]:
