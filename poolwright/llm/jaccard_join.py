@@ -35,7 +35,7 @@ from pyspark.sql.window import Window
 
 from poolwright.operators.graph import connected_components
 
-from .common import batch_rows, encoded, gram_hashes, mix, release, shuffle_partitions, text_rows, word_hashes, written
+from .common import batch_rows, encoded, gram_hashes, mix, release, shuffle_partitions, text_rows, trimmed, word_hashes, written
 
 #: stands for a null doc_id; rows that share it are told apart by their sets
 NO_ID = 2**63 - 1
@@ -325,7 +325,7 @@ def similar_nodes(docs: DataFrame, nodes: DataFrame, percent: int, n: int, chunk
     """Verified links (a, b) between nodes; they connect all linked nodes."""
     spark = docs.sparkSession
     # keys that several rows have (copies of a set too), then the nodes that share enough of theirs
-    postings = text_rows(docs).mapInArrow(_postings(n, percent), "key long, node long, tag int")
+    postings = text_rows(docs).mapInArrow(trimmed(_postings(n, percent)), "key long, node long, tag int")
     live = written(postings.groupBy("key").agg(F.count("*").alias("rows")).where("rows > 1").select("key"), "keys")
     release(spark)
     rows = written(postings.join(live, "key").distinct(), "postings")
@@ -357,12 +357,12 @@ def similar_nodes(docs: DataFrame, nodes: DataFrame, percent: int, n: int, chunk
     texts = text_rows(docs).withColumn("d", F.coalesce("doc_id", F.lit(NO_ID)))
     few = cells.count() <= BROADCAST_ROWS
     found = texts.join(F.broadcast(cells) if few else cells, "d").select(*_CELL, "node", "text")
-    sets = found.mapInArrow(_sets(n), "block long, i int, j int, node long, shingles array<long>")
+    sets = found.mapInArrow(trimmed(_sets(n)), "block long, i int, j int, node long, shingles array<long>")
     dealt = sets.repartition(shuffle_partitions(spark), *_CELL).sortWithinPartitions(*_CELL, "node")
-    return dealt.mapInArrow(_search(percent), "a long, b long")
+    return dealt.mapInArrow(trimmed(_search(percent)), "a long, b long")
 
 
-def jaccard_components(docs: DataFrame, percent: int = 90, n: int = 3, chunk_shingles: int = 2_000_000) -> DataFrame:
+def jaccard_components(docs: DataFrame, percent: int = 90, n: int = 3, chunk_shingles: int = 1_000_000) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id that links lead to) of every document.
 
     A null text, or one without a word, has the empty set and links with nothing. A row without a
@@ -371,7 +371,7 @@ def jaccard_components(docs: DataFrame, percent: int = 90, n: int = 3, chunk_shi
     """
     spark = docs.sparkSession
     batch_rows(spark, 1000)
-    nodes = written(text_rows(docs).mapInArrow(_nodes(n), "doc_id long, n_shingles long, node long"), "nodes")
+    nodes = written(text_rows(docs).mapInArrow(trimmed(_nodes(n)), "doc_id long, n_shingles long, node long"), "nodes")
     listed = nodes.where("node is not null")
     components = connected_components(similar_nodes(docs, listed, percent, n, chunk_shingles))
     grouped = listed.join(components, "node", "left").select("doc_id", "n_shingles", F.coalesce("component", "node").alias("component"))

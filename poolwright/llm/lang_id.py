@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_rows, mix, written
+from .common import batch_rows, mix, trimmed, written
 
 #: expected number of labelled documents of a language that the filters are fitted on
 SAMPLE_DOCS = 4_000
@@ -32,8 +32,8 @@ HASHES = 3
 RATIO = 1.5
 #: occurrences in a language's sample below which an n-gram is left out
 LEAST = 4
-#: languages that the mask can name
-MOST_LANGUAGES = 64
+#: languages that one mask word names; more languages have more words a slot
+WORD_LANGUAGES = 64
 UNKNOWN = "und"
 
 _SEEDS = [np.uint64(s) for s in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
@@ -91,7 +91,7 @@ def _positions(grams: np.ndarray) -> list[np.ndarray]:
 @dataclass
 class LanguageFilters:
     languages: list[str]
-    slots: np.ndarray  # a bitmask of languages in each slot
+    slots: np.ndarray  # a bitmask of languages in each slot: (mask words, SLOTS)
     false_positive: np.ndarray  # rate of each language
     typical: np.ndarray  # corrected share of hits in a text of each language
 
@@ -102,9 +102,9 @@ class LanguageFilters:
             return None
         mask = None
         for at in _positions(grams):
-            mask = self.slots[at] if mask is None else mask & self.slots[at]
+            mask = self.slots[:, at] if mask is None else mask & self.slots[:, at]
         n = len(grams)
-        hits = np.array([np.count_nonzero(mask & np.uint64(1 << i)) for i in range(len(self.languages))], float)
+        hits = np.array([np.count_nonzero(mask[i // WORD_LANGUAGES] & np.uint64(1 << i % WORD_LANGUAGES)) for i in range(len(self.languages))], float)
         return np.maximum(hits - n * self.false_positive, 0) / (n * (1 - self.false_positive))
 
     def predict(self, text: str | None) -> tuple[str, float]:
@@ -150,19 +150,19 @@ def _counted(index: dict[str, int]):
 def fit_filters(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS) -> LanguageFilters:
     """Fit on (doc_id, text, lang) rows; rows without text or lang are left out.
 
-    Slot masks are built by a grouped bit_or; the driver gets the SLOTS masks at most.
+    Slot masks are built by a grouped bit_or; the driver gets SLOTS masks for each 64 languages at most.
     """
     spark = labelled.sparkSession
     rows = labelled.where("text is not null and lang is not null").select("doc_id", "text", F.col("lang").cast("string").alias("lang"))
-    per_lang = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()}
+    per_lang = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     languages = sorted(per_lang)
     if not languages:
-        return LanguageFilters([], np.zeros(SLOTS, np.uint64), np.zeros(0), np.zeros(0))
+        return LanguageFilters([], np.zeros((1, SLOTS), np.uint64), np.zeros(0), np.zeros(0))
     index = {x: i for i, x in enumerate(languages)}
     share = spark.createDataFrame([(x, sample_docs / n) for x, n in per_lang.items()], "lang string, share double")
     unit = F.pmod(F.xxhash64("doc_id", F.lit(20)), F.lit(1 << 30)) / float(1 << 30)
     sample = written(rows.join(F.broadcast(share), "lang").where(unit < F.col("share")).select("text", "lang"), "sample")
-    grams = sample.mapInArrow(_counted(index), "lang int, gram long, n long").groupBy("gram", "lang").agg(F.sum("n").alias("n"))
+    grams = sample.mapInArrow(trimmed(_counted(index)), "lang int, gram long, n long").groupBy("gram", "lang").agg(F.sum("n").alias("n"))
     grams = written(grams, "grams")
     totals = grams.groupBy("lang").agg(F.sum("n").alias("total"))
     rate = grams.join(F.broadcast(totals), "lang").withColumn("rate", F.col("n") / F.col("total"))
@@ -172,14 +172,16 @@ def fit_filters(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Language
     def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             g = batch["gram"].to_numpy().view(np.uint64)
-            bit = np.uint64(1) << batch["lang"].to_numpy().astype(np.uint64)
+            lang = batch["lang"].to_numpy().astype(np.uint64)
+            bit = np.uint64(1) << lang % np.uint64(WORD_LANGUAGES)
             at = np.concatenate(_positions(g) or [np.empty(0, np.int64)])
-            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(np.tile(bit, HASHES).view(np.int64))], ["slot", "mask"])
+            word = np.tile((lang // np.uint64(WORD_LANGUAGES)).astype(np.int32), HASHES)
+            yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(at.astype(np.int32)), pa.array(np.tile(bit, HASHES).view(np.int64))], ["word", "slot", "mask"])
 
-    table = own.select("gram", "lang").mapInArrow(slots, "slot int, mask long").groupBy("slot").agg(F.expr("bit_or(mask)").alias("mask")).toArrow()
-    filled = np.zeros(SLOTS, np.uint64)
-    filled[table["slot"].to_numpy()] = table["mask"].to_numpy().view(np.uint64)
-    fill = np.array([np.count_nonzero(filled & np.uint64(1 << i)) for i in range(len(languages))]) / SLOTS
+    table = own.select("gram", "lang").mapInArrow(slots, "word int, slot int, mask long").groupBy("word", "slot").agg(F.expr("bit_or(mask)").alias("mask")).toArrow()
+    filled = np.zeros((-(-len(languages) // WORD_LANGUAGES), SLOTS), np.uint64)
+    filled[table["word"].to_numpy(), table["slot"].to_numpy()] = table["mask"].to_numpy().view(np.uint64)
+    fill = np.array([np.count_nonzero(filled[i // WORD_LANGUAGES] & np.uint64(1 << i % WORD_LANGUAGES)) for i in range(len(languages))]) / SLOTS
     model = LanguageFilters(languages, filled, fill**HASHES, np.ones(len(languages)))
     shared = spark.sparkContext.broadcast(model)
 
@@ -192,7 +194,7 @@ def fit_filters(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Language
                     values.append(float(c[index[lang]]))
             yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(values, pa.float64())], ["lang", "share"])
 
-    typical = sample.mapInArrow(shares, "lang string, share double").groupBy("lang").agg(F.percentile_approx("share", 0.5, 10_000).alias("share")).collect()
+    typical = sample.mapInArrow(trimmed(shares), "lang string, share double").groupBy("lang").agg(F.percentile_approx("share", 0.5, 10_000).alias("share")).collect()
     for r in typical:
         model.typical[index[r["lang"]]] = max(round(r["share"], 6), 0.01)
     return model
@@ -217,11 +219,15 @@ def predict_languages(docs: DataFrame, model: LanguageFilters) -> DataFrame:
             )
 
     schema = ", ".join([f"`{n}` {t}" for n, t in docs.dtypes] + ["lang_pred string, score double"])
-    return docs.mapInArrow(predicted, schema)
+    return docs.mapInArrow(trimmed(predicted), schema)
 
 
 def identify(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
-    """doc_id, held_out, lang_pred, score: fitted on the labelled rows that are not held out."""
+    """doc_id, held_out, lang_pred, score: fitted on the labelled rows that are not held out.
+
+    Repeated rows each get a row; a null doc_id is not held out. Of equal shares the language that
+    comes first in code-point order is predicted.
+    """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), "lang")
     model = fit_filters(rows.where(~held_out(F.col("doc_id"))), sample_docs)
     found = predict_languages(rows.select("doc_id", "text"), model)

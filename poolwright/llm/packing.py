@@ -19,8 +19,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_rows, text_rows, written
-from .tokens import BATCH_BYTES, BATCH_ROWS, tokenizer
+from .common import batch_rows, text_rows, trimmed, written
+from .tokens import tokenizer
 
 #: partitions that meet in one in each round
 FAN_IN = 8
@@ -78,8 +78,8 @@ def tokenized_pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity
                 ["uid", "doc_id", "piece", "start", "length", "ids_crc32"],
             )
 
-    batch_rows(docs.sparkSession, BATCH_ROWS, BATCH_BYTES)
-    return text_rows(docs).mapInArrow(pieces, "uid long, doc_id long, piece int, start long, length long, ids_crc32 long")
+    batch_rows(docs.sparkSession, 3_000)
+    return text_rows(docs).mapInArrow(trimmed(pieces), "uid long, doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 _BINS = "node int, closed boolean, fill long, uids array<long>, lengths array<long>"

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_rows
+from .common import batch_rows, trimmed
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "secret", "national_id", "iban")
@@ -85,11 +85,11 @@ def base_spans(text: str | None) -> list[tuple[str, int, int]]:
 
 # ---- looser candidates -------------------------------------------------------------------------
 _LOOSE = {
-    "email": re.compile(r"\b[A-Za-z0-9._%+-]{1,64} ?(?:\[at\]|\(at\)|@) ?[A-Za-z0-9-]{1,63}(?: ?(?:\[dot\]|\(dot\)|\.) ?[A-Za-z0-9-]{2,63}){1,4}\b"),
+    "email": re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?(?:\[at\]|\(at\)|@) ?[A-Za-z0-9-]+(?: ?(?:\[dot\]|\(dot\)|\.) ?[A-Za-z0-9-]{2,})+\b"),
     "card": re.compile(r"(?<![0-9])[0-9]{4}(?:[ .-]?[0-9]{4}){2,3}(?:[ .-]?[0-9]{1,3})?(?![0-9])"),
     "phone": re.compile(r"(?<![0-9+(])(?:\([0-9]{3}\) ?|[0-9]{3}[-. ])[0-9]{3}[-. ][0-9]{4}(?![0-9])"),
     # the value is looked ahead for, as it may be the name of the next one: "note: password=..."
-    "secret": re.compile(r"\b[A-Za-z_]{2,30} ?[=:] ?[\"']?(?=([A-Za-z0-9+/_-]{8,}[\"']?))"),
+    "secret": re.compile(r"\b[A-Za-z_]{2,}+ ?[=:] ?[\"']?(?=([A-Za-z0-9+/_-]{8,}[\"']?))"),
     "national_id": re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
     "iban": re.compile(r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b"),
 }
@@ -200,7 +200,7 @@ def candidates(text: str | None) -> list[tuple[str, int, int, bool, str]]:
     return out
 
 
-_SECRET_NAME = re.compile(r"[A-Za-z_]{2,30} ?[=:] ?[\"']?")
+_SECRET_NAME = re.compile(r"[A-Za-z_]{2,} ?[=:] ?[\"']?")
 
 
 def resolved(text: str, accepted: list[tuple[str, int, int]], base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
@@ -301,7 +301,7 @@ def fit_spans(docs: DataFrame) -> SpanModel:
             )
 
     batch_rows(docs.sparkSession, 1000)
-    found = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(counted, "kind string, votes string, n long")
+    found = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(trimmed(counted), "kind string, votes string, n long")
     return fit({(r["kind"], r["votes"]): r["n"] for r in found.groupBy("kind", "votes").agg(F.sum("n").alias("n")).collect()})
 
 
@@ -356,4 +356,4 @@ def find_spans(docs: DataFrame, model: SpanModel | None = None) -> DataFrame:
     batch_rows(docs.sparkSession, 1000)
     docs = docs.select(*[F.col(f"`{c}`") for c in kept]).withColumn("text", F.col("text").cast("string"))
     schema = ", ".join([f"`{n}` {t}" for n, t in docs.dtypes] + ["n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, redacted string"])
-    return docs.mapInArrow(found, schema)
+    return docs.mapInArrow(trimmed(found), schema)

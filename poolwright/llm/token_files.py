@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import simple8b
-from .common import batch_rows, fresh_path, shuffle_partitions, text_rows, written
+from .common import batch_rows, fresh_path, shuffle_partitions, text_rows, trimmed, written
 from .tokens import BATCH_BYTES, BATCH_ROWS, tokenizer
 
 MAGIC = b"PWS8"
@@ -109,7 +109,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
 
     batch_rows(docs.sparkSession, BATCH_ROWS, BATCH_BYTES)
     ordered = text_rows(docs).repartitionByRange(shuffle_partitions(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", "text")
-    files = ordered.mapInArrow(segments, "payload binary").write.option("maxRecordsPerFile", 1)
+    files = ordered.mapInArrow(trimmed(segments), "payload binary").write.option("maxRecordsPerFile", 1)
     files.option("compression", "none").parquet(path)
 
 
@@ -135,7 +135,7 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
                 )
 
     files = spark.read.schema("payload binary").parquet(path)
-    return files.mapInArrow(documents, "doc_id long, part int, start_in_part long, n_tokens long, ids_crc32 long")
+    return files.mapInArrow(trimmed(documents), "doc_id long, part int, start_in_part long, n_tokens long, ids_crc32 long")
 
 
 def token_file_index(docs: DataFrame, tokenizer_path: str, end_id: int, segment_ids: int = SEGMENT_IDS) -> DataFrame:

@@ -26,7 +26,7 @@ CHUNK_ENTRIES = 400_000
 #: Lookups after which the share of misses decides whether a full cache starts anew.
 RENEW_AFTER = 2_000_000
 #: Rows and bytes of a batch of texts: the larger, the more chunks it has in common.
-BATCH_ROWS, BATCH_BYTES = 4_000, 12 << 20
+BATCH_ROWS, BATCH_BYTES = 8_000, 24 << 20
 #: Longer pieces are encoded without being kept.
 KEPT_CHARS = 48
 #: Characters that go to the library in one call.
@@ -128,7 +128,7 @@ class ChunkTokenizer:
             return ""
         if self.whole or _SEP in text or _FIRST in text or any(s in text for s in self.special):
             return None
-        if self.lowers and text.isascii():
+        if self.lowers and text.isascii() and not any(s in text.lower() for s in self.special):
             text = text.lower()
         return _FIRST + (text.replace(" ", _SEP) if _plain(text) else _CUT.sub(_SEP, text))
 
