@@ -53,8 +53,9 @@ def normalise_title(title: Column) -> Column:
 def normalise_doi(doi: Column) -> Column:
     """Decoded once, lower case, without resolver prefix and trailing punctuation; empty if it is no DOI."""
     decoded = F.coalesce(F.try_url_decode(F.regexp_replace(doi, r"\+", "%2B")), doi)
-    bare = F.regexp_replace(F.trim(F.lower(decoded)), r"^(https?://)?(dx\.)?doi\.org/|^doi:\s*", "")
-    bare = F.regexp_replace(bare, r"[.,;:)\]]+$", "")
+    bare = F.regexp_replace(F.trim(F.lower(decoded)), r"^(https?://)?(dx\.)?doi\.org/", "")
+    bare = F.trim(F.regexp_replace(bare, r"^(info:)?doi:\s*", ""))
+    bare = F.regexp_replace(bare, r"[.,;:)\]}’'\"]+$", "")
     return F.when(F.regexp_like(bare, F.lit(r"^10\.\d{4,9}/\S+$")), bare).otherwise("")
 
 
@@ -143,18 +144,23 @@ def render_query(blocks: Column) -> Column:
 
 
 def singular(word: Column) -> Column:
+    """A plural without its ending; what only looks like one (-ss, -us, -is, three letters) stays."""
+    stays = (F.length(word) <= 3) | F.regexp_like(word, F.lit("(ss|us|is)$"))
     return (
-        F.when(F.regexp_like(word, F.lit("[^aeiou]ies$")), F.regexp_replace(word, "ies$", "y"))
+        F.when(stays, word)
+        .when(F.endswith(word, F.lit("ies")) & (F.length(word) > 4), F.regexp_replace(word, "ies$", "y"))
         .when(F.regexp_like(word, F.lit("(ss|x|ch|sh)es$")), F.regexp_replace(word, "es$", ""))
-        .when(F.regexp_like(word, F.lit("[^s]s$")) & (F.length(word) > 3), F.regexp_replace(word, "s$", ""))
-        .otherwise(word)
+        .otherwise(F.regexp_replace(word, "s$", ""))
     )
 
 
 def parse_number(text: Column) -> Column:
-    """A printed number: Unicode minus, spaces and thousands commas are put up with; else null."""
-    plain = F.regexp_replace(F.translate(F.trim(text), "−–", "--"), r"(?<=\d)[, ](?=\d{3}(\D|$))", "")
-    return F.when(F.regexp_like(plain, F.lit(r"^[+-]?\d*\.?\d+([eE][+-]?\d+)?%?$")), F.regexp_replace(plain, "%", "").cast("double"))
+    """A printed number: Unicode minus, white space, thousands commas, a decimal comma, per cent and degree
+    signs are put up with; else null."""
+    plain = F.regexp_replace(F.translate(text, "−–%°", "--"), r"[\s\u00a0\u2009\u202f]+", "")
+    thousands, decimal = r"^[+-]?\d{1,3}(,\d{3})+(\.\d+)?$", r"^[+-]?\d+,\d+$"
+    plain = F.when(F.regexp_like(plain, F.lit(thousands)), F.regexp_replace(plain, ",", "")).when(F.regexp_like(plain, F.lit(decimal)), F.regexp_replace(plain, ",", ".")).otherwise(plain)
+    return F.when(F.regexp_like(plain, F.lit(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$")), plain.cast("double"))
 
 
 # fixed values: names of a unit by its key

@@ -188,8 +188,8 @@ def house_spread(figures: DataFrame, paper: str) -> DataFrame:
 def best_guess(df: DataFrame) -> DataFrame:
     """`veto` and `rule` of held rows, first match each; `admitted` where a rule holds and nothing vetoes."""
     veto = (
-        F.when(c("refused"), "row_refusal").when(~c("direction_resolved"), "orientation_unresolvable").when(c("groups") < 2, "one_group_only")
-        .when(c("v").isNull() | (c("v") <= 0), "no_variance")
+        F.when(c("refused"), "row_refusal").when(~c("direction_resolved"), "orientation_unresolvable")
+        .when((c("v").isNull() | (c("v") <= 0)) & (c("groups") < 2), "one_group_only").when(c("v").isNull() | (c("v") <= 0), "no_variance")
     )
     rule = (
         F.when(c("disputed"), "disputed_reading_guess").when(c("inferred"), "inferred_premise").when(c("score") < NOTE, "low_confidence_value")
@@ -199,17 +199,33 @@ def best_guess(df: DataFrame) -> DataFrame:
 
 
 def orientation(ballots: DataFrame, keys: list[str]) -> DataFrame:
-    """Direction of a measure from ballots (higher_is_better true / false / null, contradicts the means or not).
-
-    Ballots against the means are discarded; then a majority of three, two that agree, one witness.
+    """Direction of a measure from its readers' ballots.
+
+    ballots: keys, higher_is_better (null: none named), contradicts (the claim is against the means),
+    not_run (the reply was none), scale (what the raw values are), third_read (it was bought to settle).
+    Contradicted readers and replies that were none do not decide. A direction that a contradicted
+    reader named otherwise is not recorded. With a third read a strict majority on one raw scale
+    decides; without, two readers of one answer; one reader only where its partner's reply was none,
+    named nothing else, and nobody was contradicted.
     """
-    kept = ballots.where(~F.coalesce(c("contradicts"), F.lit(False)))
-    g = kept.groupBy(*keys).agg(F.count_if("higher_is_better").alias("up"), F.count_if(~c("higher_is_better")).alias("down"))
-    all_keys = ballots.groupBy(*keys).agg(F.count_if(F.coalesce(c("contradicts"), F.lit(False))).alias("discarded"))
-    g = all_keys.join(g, keys, "left").fillna(0, ["up", "down"])
-    n = c("up") + c("down")
+    flag = lambda x: F.coalesce(c(x), F.lit(False))
+    counts, up = ~flag("contradicts") & ~flag("not_run"), c("higher_is_better")
+    named = lambda rows, way: F.count_if(rows & (up == way))
+    scales = lambda way: F.size(F.collect_set(F.when(counts & (up == way), F.coalesce("scale", F.lit("")))))
+    g = ballots.groupBy(*keys).agg(
+        F.count_if(flag("contradicts")).alias("discarded"), F.count_if(flag("not_run")).alias("lost"), F.max(flag("third_read")).alias("third"),
+        named(counts, True).alias("up"), named(counts, False).alias("down"), scales(True).alias("up_scales"), scales(False).alias("down_scales"),
+        named(flag("contradicts"), True).alias("against_down"), named(flag("contradicts"), False).alias("against_up"),
+        named(flag("not_run"), True).alias("lost_up"), named(flag("not_run"), False).alias("lost_down"),
+    )
+    n, more_up = c("up") + c("down"), c("up") > c("down")
+    free = F.when(more_up, c("against_up") == 0).otherwise(c("against_down") == 0)
+    one_scale = F.when(more_up, c("up_scales")).otherwise(c("down_scales")) == 1
+    dissent = F.when(more_up, c("lost_down")).otherwise(c("lost_up")) > 0
     how = (
-        F.when((c("up") > 0) & (c("down") > 0) & (c("up") != c("down")), "majority").when((n >= 2) & ((c("up") == 0) | (c("down") == 0)), "agreement")
-        .when(n == 1, "single_witness").otherwise("abstain")
+        F.when(c("third") & (n >= 2), F.when((c("up") != c("down")) & one_scale & free, "majority").otherwise("abstain"))
+        .when((n >= 2) & ((c("up") == 0) | (c("down") == 0)) & free, "agreement")
+        .when((n == 1) & (c("lost") > 0) & (c("discarded") == 0) & ~c("third") & ~dissent, "single_witness").otherwise("abstain")
     )
-    return g.withColumn("how", how).withColumn("higher_is_better", F.when(c("how") == "abstain", F.lit(None).cast("boolean")).otherwise(c("up") > c("down")))
+    g = g.withColumn("how", how)
+    return g.select(*keys, "discarded", "up", "down", "how", F.when(c("how") != "abstain", more_up).alias("higher_is_better"))

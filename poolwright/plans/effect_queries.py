@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from poolwright.functions import effects as e
-from poolwright.functions.special import Z95, normal_ppf, t_ppf
+from poolwright.functions.special import Z95, t_ppf
 from poolwright.sources.tables import ARMS_SQL, EFFECTS_SQL, arms, effects
 
 from .base import query, rounded, rounded_sql
@@ -130,43 +130,18 @@ def _values(name: str, columns: str, rows) -> str:
     return f"{name}({columns}) AS (VALUES {', '.join(str(r) for r in rows)})"
 
 
-#: t quantiles and normal scores for every n that the oracle may meet
+#: t quantiles for every n that the oracle may meet
 _T = _values("tq", "df, q", [(df, repr(t_ppf(0.975, df))) for df in range(1, 100)]).replace("'", "")
-_SCORES = _values(
-    "score", "n, xi, eta", [(n, 2 * normal_ppf((n - 0.375) / (n + 0.25)), 2 * normal_ppf((0.75 * n - 0.125) / (n + 0.25))) for n in range(2, 41)]
-)
-
-_FIVE_SQL = """
-five AS (
-  SELECT l_suppkey AS supplier, count(*) AS n, min(l_quantity) AS lo, quantile_cont(l_quantity, 0.25) AS q1,
-         median(l_quantity) AS md, quantile_cont(l_quantity, 0.75) AS q3, max(l_quantity) AS hi
-  FROM lineitem WHERE l_partkey % 25 = 0 GROUP BY 1 HAVING count(*) BETWEEN 2 AND 40
-)"""
 
 
-@query(
-    f"WITH {_SCORES}, {_FIVE_SQL}, w AS (SELECT *, 1 / (1 + 0.07 * power(n, 0.6)) AS ws, 2.2 / (2.2 + power(n, 0.75)) AS wr, "
-    "0.7 - 0.72 / power(n, 0.75) AS wq FROM five JOIN score USING (n)) SELECT supplier, n, "
-    + rounded_sql(
-        {
-            "mean_three": "(q1 + md + q3) / 3",
-            "mean_iqr": "(0.7 + 0.39 / n) * (q1 + q3) / 2 + (0.3 - 0.39 / n) * md",
-            "mean_five": "wr * (lo + hi) / 2 + wq * (q1 + q3) / 2 + (1 - wr - wq) * md",
-            "sd_iqr": "(q3 - q1) / eta",
-            "sd_range": "(hi - lo) / xi",
-            "sd_shi": "ws * (hi - lo) / xi + (1 - ws) * (q3 - q1) / eta",
-            "sd_wan": "((hi - lo) / xi + (q3 - q1) / eta) / 2",
-        }
-    )
-    + " FROM w"
-)
+@query()
 def sd_from_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Means and SDs from medians, quartiles and ranges, by supplier."""
-    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").where("l_partkey % 25 = 0")
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     five = rows.groupBy(c("l_suppkey").alias("supplier")).agg(
         F.count("*").alias("n"), F.min("l_quantity").alias("lo"), F.percentile("l_quantity", 0.25).alias("q1"), F.median("l_quantity").alias("md"),
         F.percentile("l_quantity", 0.75).alias("q3"), F.max("l_quantity").alias("hi"),
-    ).where("n between 2 and 40")
+    ).where("n > 1")
     x = {k: c(k) for k in ("lo", "q1", "md", "q3", "hi", "n")}
     return rounded(
         five.select(

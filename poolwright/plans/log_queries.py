@@ -51,9 +51,9 @@ def log_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {_LOG}, v AS (SELECT dataset, max_by(mean, seq) FILTER (WHERE mean IS NOT NULL) AS m, max_by(n, seq) FILTER (WHERE n IS NOT NULL) AS k FROM log WHERE kind = 'value' AND seq < 3000 GROUP BY 1),
-    x AS (SELECT DISTINCT dataset FROM log WHERE kind = 'exclude_dataset' AND seq < 300),
-    p AS (SELECT paper FROM log WHERE kind = 'eligibility' AND seq < 300 GROUP BY 1 HAVING NOT max_by(eligible, seq))
+    f"""WITH {_LOG}, v AS (SELECT dataset, max_by(mean, seq) FILTER (WHERE mean IS NOT NULL) AS m, max_by(n, seq) FILTER (WHERE n IS NOT NULL) AS k FROM log WHERE kind = 'value' GROUP BY 1),
+    x AS (SELECT DISTINCT dataset FROM log WHERE kind = 'exclude_dataset'),
+    p AS (SELECT paper FROM log WHERE kind = 'eligibility' GROUP BY 1 HAVING NOT max_by(eligible, seq))
     SELECT c_custkey, coalesce(m, c_acctbal) AS mean, coalesce(k, 10.0::DOUBLE) AS n, v.dataset IS NOT NULL AS touched FROM customer LEFT JOIN v ON v.dataset = c_custkey
     WHERE c_custkey NOT IN (SELECT dataset FROM x) AND c_custkey % 40 NOT IN (SELECT paper FROM p)"""
 )
@@ -63,8 +63,8 @@ def log_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = table(spark, sf_dir, "customer").select(
         c("c_custkey").alias("dataset"), (c("c_custkey") % 40).alias("paper"), c("c_acctbal").alias("mean"), F.lit(10.0).alias("n")
     )
-    folded = log.fold_values(cells, decisions.where("seq < 3000"), ["dataset"], ["mean", "n"])
-    out = log.excluded(folded, decisions.where("seq < 300"), "dataset", "paper")
+    folded = log.fold_values(cells, decisions, ["dataset"], ["mean", "n"])
+    out = log.excluded(folded, decisions, "dataset", "paper")
     return out.select(c("dataset").alias("c_custkey"), "mean", "n", "touched")
 
 
@@ -106,7 +106,7 @@ def session_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH RECURSIVE v AS (SELECT user_id, list(value ORDER BY event_id) AS xs FROM events WHERE event_id < 600 GROUP BY 1),
+    """WITH RECURSIVE v AS (SELECT user_id, list(value ORDER BY event_id) AS xs FROM events GROUP BY 1),
     r(user_id, xs, i, groups) AS (SELECT user_id, xs, 1, []::DOUBLE[] FROM v UNION ALL
       SELECT user_id, xs, i + 1, CASE WHEN len(list_filter(groups, lambda g: abs(g - xs[i]) <= 0.05 * greatest(abs(g), abs(xs[i])) AND sign(g) = sign(xs[i]))) > 0 THEN groups ELSE list_append(groups, xs[i]) END
       FROM r WHERE i <= len(xs))
@@ -114,5 +114,5 @@ def session_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def distinct_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Greedy groups of nearly equal readings."""
-    e = table(spark, sf_dir, "events").where("event_id < 600").select("user_id", "event_id", "value")
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", "value")
     return log.distinct_readings(e, "user_id", "event_id", "value", 0.05).select("user_id", F.size("groups").alias("n_groups"))

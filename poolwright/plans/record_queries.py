@@ -209,14 +209,14 @@ def upper_median(spark: SparkSession, sf_dir: str) -> DataFrame:
 _TICKS = """ticks AS (
   SELECT user_id AS axis, event_id AS tick, 10.0 * row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS px,
          2.5 * row_number() OVER (PARTITION BY user_id ORDER BY event_id) + CASE WHEN value > 100 THEN 7.0 ELSE value / 100 END AS value
-  FROM events WHERE event_id < 1500
+  FROM events
 )"""
 
 
 def _ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     place = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))
     value = 2.5 * place + F.when(c("value") > 100, 7.0).otherwise(c("value") / 100)
-    return table(spark, sf_dir, "events").where("event_id < 1500").select(c("user_id").alias("axis"), c("event_id").alias("tick"), (10.0 * place).alias("px"), value.alias("value"))
+    return table(spark, sf_dir, "events").select(c("user_id").alias("axis"), c("event_id").alias("tick"), (10.0 * place).alias("px"), value.alias("value"))
 
 
 @query(
@@ -235,10 +235,10 @@ def fit_axis(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""WITH {_TICKS}, s AS (SELECT a.axis, median((b.value - a.value) / (b.px - a.px)) AS slope FROM ticks a JOIN ticks b ON a.axis = b.axis AND a.tick < b.tick GROUP BY 1)
-    SELECT axis, round(any_value(slope), 6) + 0.0 AS slope, round(median(value - slope * px), 6) + 0.0 AS intercept FROM ticks JOIN s USING (axis) GROUP BY 1"""
+    SELECT axis, round(any_value(slope), 4) + 0.0 AS slope, round(median(value - slope * px), 4) + 0.0 AS intercept FROM ticks JOIN s USING (axis) GROUP BY 1"""
 )
 def theil_sen(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(agreement.theil_sen(_ticks(spark, sf_dir), "axis", "px", "value", "tick"))
+    return rounded(agreement.theil_sen(_ticks(spark, sf_dir), "axis", "px", "value", "tick"), 4)
 
 
 @query(

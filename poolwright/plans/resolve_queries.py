@@ -198,7 +198,7 @@ def conversion_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     """WITH x AS (SELECT p_partkey, p_partkey % 11 = 0 AS refused, p_partkey % 7 > 0 AS directed, CASE WHEN p_partkey % 13 = 0 THEN 1 ELSE 2 END AS groups,
       CASE WHEN p_partkey % 17 = 0 THEN NULL ELSE p_size / 10.0 END AS v, p_partkey % 2 = 0 AS disputed, p_partkey % 3 = 0 AS inferred, p_size / 50.0 AS score, p_partkey % 5 = 0 AS overridden FROM part),
-    y AS (SELECT *, CASE WHEN refused THEN 'row_refusal' WHEN NOT directed THEN 'orientation_unresolvable' WHEN groups < 2 THEN 'one_group_only' WHEN v IS NULL OR v <= 0 THEN 'no_variance' END AS veto FROM x)
+    y AS (SELECT *, CASE WHEN refused THEN 'row_refusal' WHEN NOT directed THEN 'orientation_unresolvable' WHEN coalesce(v, 0) <= 0 AND groups < 2 THEN 'one_group_only' WHEN coalesce(v, 0) <= 0 THEN 'no_variance' END AS veto FROM x)
     SELECT p_partkey, veto, CASE WHEN veto IS NULL THEN CASE WHEN disputed THEN 'disputed_reading_guess' WHEN inferred THEN 'inferred_premise' WHEN score < 0.45 THEN 'low_confidence_value'
       WHEN overridden THEN 'precedence_override' END END AS rule, veto IS NULL AND (disputed OR inferred OR score < 0.45 OR overridden) AS admitted FROM y"""
 )
@@ -213,16 +213,26 @@ def best_guess_line(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH b AS (SELECT user_id, CASE event_type WHEN 'click' THEN true WHEN 'view' THEN false WHEN 'signup' THEN true END AS up, event_type = 'signup' AND value > 50 AS bad FROM events WHERE event_id < 400),
-    g AS (SELECT user_id, count(*) FILTER (WHERE bad) AS discarded, count(*) FILTER (WHERE up AND NOT bad) AS u, count(*) FILTER (WHERE NOT up AND NOT bad) AS d FROM b GROUP BY 1)
-    SELECT user_id, discarded, CASE WHEN u > 0 AND d > 0 AND u <> d THEN 'majority' WHEN u + d >= 2 AND (u = 0 OR d = 0) THEN 'agreement' WHEN u + d = 1 THEN 'single_witness' ELSE 'abstain' END AS how,
-      CASE WHEN (u > 0 AND d > 0 AND u <> d) OR (u + d >= 2 AND (u = 0 OR d = 0)) OR u + d = 1 THEN u > d END AS higher_is_better FROM g"""
+    """WITH b AS (SELECT user_id, event_id // 4 AS measure, CASE event_type WHEN 'click' THEN 'up' WHEN 'view' THEN 'down' WHEN 'signup' THEN 'up' END AS way,
+      CASE WHEN event_type = 'signup' AND value > 50 THEN 'discarded' WHEN event_id % 11 = 0 THEN 'lost' ELSE 'live' END AS state, event_id % 5 = 0 AS scale, event_id % 3 = 0 AS third FROM events),
+    t AS (SELECT user_id, measure, bool_or(third) AS third, count(*) FILTER (state = 'discarded') AS discarded, count(*) FILTER (state = 'lost') AS lost, count(way) FILTER (state = 'live') AS n FROM b GROUP BY 1, 2),
+    w AS (SELECT user_id, measure, way, count(*) FILTER (state = 'live') AS votes, count(DISTINCT scale) FILTER (state = 'live') AS scales FROM b WHERE way IS NOT NULL GROUP BY 1, 2, 3 HAVING count(*) FILTER (state = 'live') > 0),
+    x AS (SELECT t.*, w.way, votes, scales, EXISTS (FROM b WHERE b.user_id = t.user_id AND b.measure = t.measure AND b.state = 'discarded' AND b.way <> w.way) AS denied,
+      EXISTS (FROM b WHERE b.user_id = t.user_id AND b.measure = t.measure AND b.state = 'lost' AND b.way <> w.way) AS dissent FROM t JOIN w ON w.user_id = t.user_id AND w.measure = t.measure),
+    y AS (SELECT user_id, measure, way, CASE WHEN third AND n >= 2 AND 2 * votes > n AND scales = 1 AND NOT denied THEN 'majority' WHEN NOT third AND n >= 2 AND votes = n AND NOT denied THEN 'agreement'
+      WHEN NOT third AND n = 1 AND lost > 0 AND discarded = 0 AND NOT dissent THEN 'single_witness' END AS how FROM x)
+    SELECT t.user_id, t.measure, t.discarded, coalesce(y.how, 'abstain') AS how, CASE WHEN y.how IS NOT NULL THEN y.way = 'up' END AS higher_is_better
+    FROM t LEFT JOIN y ON y.user_id = t.user_id AND y.measure = t.measure AND y.how IS NOT NULL"""
 )
 def orientation_ballots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Direction of each measure from its readers' ballots."""
     up = F.when(c("event_type").isin("click", "signup"), True).when(c("event_type") == "view", False)
-    b = table(spark, sf_dir, "events").where("event_id < 400").select("user_id", up.alias("higher_is_better"), ((c("event_type") == "signup") & (c("value") > 50)).alias("contradicts"))
-    return resolve.orientation(b, ["user_id"]).select("user_id", "discarded", "how", "higher_is_better")
+    bad = (c("event_type") == "signup") & (c("value") > 50)
+    b = table(spark, sf_dir, "events").select(
+        "user_id", F.floor(c("event_id") / 4).alias("measure"), up.alias("higher_is_better"), bad.alias("contradicts"), ((c("event_id") % 11 == 0) & ~bad).alias("not_run"),
+        (c("event_id") % 5 == 0).cast("string").alias("scale"), (c("event_id") % 3 == 0).alias("third_read"),
+    )
+    return resolve.orientation(b, ["user_id", "measure"]).select("user_id", "measure", "discarded", "how", "higher_is_better")
 
 
 @query(

@@ -13,51 +13,48 @@ from poolwright.functions import text as t
 from poolwright.operators import graph, log, matching, voting
 from poolwright.streaming import events as streams
 
-R = voting.Route
+READING = "cell int, ord int, route string, unit string, printed boolean, mean double, tolerance double, figure string, place string, spread double, spread_type string, n double"
 
 
-@pytest.mark.parametrize(
-    ("means", "tolerances", "value"),
-    [
+def test_route_values(spark):
+    cases = [
         ([1.0, 1.1], [0.1, 0.05], 1.05),  # within the looser one
         ([1.0, 2.0], [0.1, 0.1], None),  # nobody read the middle
         ([1.0, 1.05, 9.0], [0.1] * 3, 1.05),  # the median is a supported reading
         ([1.0, 1.05, 9.0, 20.0], [0.1] * 4, 1.025),  # the largest set votes
         ([5.0], [0.1], 5.0),
-    ],
-)
-def test_route_value(means, tolerances, value):
-    got = voting.route_value("r", True, means, tolerances, [("", "")] * len(means)).value
-    assert got == (None if value is None else pytest.approx(value))
-
-
-def test_two_places_in_one_figure_are_no_reading():
-    assert voting.route_value("r", False, [1.0, 1.0], [0.5, 0.5], [("f1", "a"), ("f1", "b")]).value is None
-    assert voting.route_value("r", False, [1.0, 1.0], [0.5, 0.5], [("f1", "a"), ("f2", "a")]).value == 1.0
-
-
-def _route(value, printed=True, tolerance=0.1, readers=1, places=()):
-    return R("r", printed, value, tolerance, readers, frozenset(places))
+    ]
+    rows = [(k, i, "r", None, True, m, t, None, None, None, None, None) for k, (means, tolerances, _) in enumerate(cases) for i, (m, t) in enumerate(zip(means, tolerances, strict=True))]
+    rows += [(90, i, "r", None, False, 1.0, 0.5, "f1", p, None, None, None) for i, p in enumerate("ab")]
+    rows += [(91, i, "r", None, False, 1.0, 0.5, f, "a", None, None, None) for i, f in enumerate(("f1", "f2"))]
+    got = {r["cell"]: r["value"] for r in voting.route_values(spark.createDataFrame(rows, READING), ["cell"]).collect()}
+    want = {k: v for k, (*_, v) in enumerate(cases)} | {90: None, 91: 1.0}  # two places in one figure are no reading
+    assert got == {k: None if v is None else pytest.approx(v) for k, v in want.items()}
 
 
-@pytest.mark.parametrize(
-    ("routes", "sd", "want"),
-    [
+def test_vote(spark):
+    p, f = True, False
+    cases = [  # (value, printed, tolerance) by route, sd, verdict
         ([], None, ("none", "none", None)),
-        ([_route(None)], None, ("disagree", "none", None)),
-        ([_route(3.0)], None, ("single", "single", 3.0)),
-        ([_route(3.0), _route(3.05)], None, ("agree", "printed_precision", 3.0)),
-        ([_route(3.0), _route(4.0)], None, ("disagree", "printed_precision", None)),
-        ([_route(3.0), _route(3.4, False, 0.5)], None, ("agree", "figure_tolerance", 3.0)),  # a picture corroborates, never sets
-        ([_route(3.0), _route(9.0, False, 0.5)], None, ("single", "printed_uncorroborated", 3.0)),
-        ([_route(3.0, False), _route(3.08, False)], None, ("agree", "figure_tolerance", 3.04)),
-        ([_route(3.0, False), _route(4.0, False)], None, ("disagree", "figure_tolerance", None)),
-        ([_route(3.0, False), _route(4.0, False)], 20.0, ("agree", "negligible_split", 3.0)),
-        ([_route(-0.5, False), _route(0.5, False)], 20.0, ("disagree", "figure_tolerance", None)),
-    ],
-)
-def test_decide(routes, sd, want):
-    assert voting.decide(routes, sd)[:3] == (*want[:2], None if want[2] is None else pytest.approx(want[2]))
+        ([(None, p, 0.1)], None, ("none", "none", None)),
+        ([(3.0, p, 0.1)], None, ("single", "single", 3.0)),
+        ([(3.0, p, 0.1), (3.05, p, 0.1)], None, ("agree", "printed_precision", 3.0)),
+        ([(3.0, p, 0.1), (4.0, p, 0.1)], None, ("disagree", "printed_precision", None)),
+        ([(3.0, p, 0.1), (3.4, f, 0.5)], None, ("agree", "figure_tolerance", 3.0)),  # a picture corroborates, never sets
+        ([(3.0, p, 0.1), (9.0, f, 0.5)], None, ("single", "printed_uncorroborated", 3.0)),
+        ([(3.0, f, 0.1), (3.08, f, 0.1)], None, ("agree", "figure_tolerance", 3.04)),
+        ([(3.0, f, 0.1), (4.0, f, 0.1)], None, ("disagree", "figure_tolerance", None)),
+        ([(3.0, f, 0.1), (4.0, f, 0.1)], 20.0, ("agree", "negligible_split", 3.0)),
+        ([(-0.5, f, 0.1), (0.5, f, 0.1)], 20.0, ("disagree", "figure_tolerance", None)),
+    ]
+    rows = [(k, i, f"r{i}", "cm", pr, v, t, None, None, sd, "SD", None) for k, (routes, sd, _) in enumerate(cases) for i, (v, pr, t) in enumerate(routes)]
+    rows.append((0, 0, None, None, None, None, None, None, None, None, None, None))
+    # a route of two places in one figure does not vote; two such routes' places meet among the winners
+    rows += [(20, i, "r", "cm", f, 1.0, 0.5, "f1", pl, None, None, None) for i, pl in enumerate("ab")]
+    rows += [(21, i, f"r{i}", "cm", f, 1.0, 0.5, "f1", pl, None, None, None) for i, pl in enumerate("ab")]
+    got = {r["cell"]: (r["agreement"], r["method"], r["value"]) for r in voting.vote(spark.createDataFrame(rows, READING), ["cell"]).collect()}
+    want = {k: v for k, (*_, v) in enumerate(cases)} | {20: ("disagree", "locator_conflict", None), 21: ("disagree", "locator_conflict", None)}
+    assert got == {k: (*v[:2], None if v[2] is None else pytest.approx(v[2])) for k, v in want.items()}
 
 
 @pytest.mark.parametrize(

@@ -33,6 +33,23 @@ def test_tick_pairs(spark):
     assert got == [(10.0, 0.0), (20.0, 5.0), (30.0, 10.0)]
 
 
+def test_ticks_off_the_trend(spark):
+    read = [("x", 10.0 * k, 5.0 * k) for k in range(1, 8)]
+    read[3] = ("x", 40.0, 900.0)  # a digit too many
+    read += [("y", 12.0, 1.0), ("z", 10.0, 1.0), ("z", 20.0, 2.0)]
+    labels = spark.createDataFrame(read, "axis string, at double, value double")
+    lines = spark.createDataFrame([("x", 10.0 * k + 0.5) for k in range(1, 9)] + [("y", 12.0)], "axis string, px double")
+    got = {(r["axis"], r["px"], r["value"]) for r in figures.pair_ticks(labels, lines, "axis").collect()}
+    assert got == {("x", 10.0 * k + 0.5, 5.0 * k) for k in (1, 2, 3, 5, 6, 7)} | {("z", 10.0, 1.0), ("z", 20.0, 2.0)}  # y has one pair only
+
+
+def test_nearest_pairs_first(spark):
+    labels = spark.createDataFrame([("x", 10.0, 1.0), ("x", 12.0, 2.0), ("x", 31.0, 3.0)], "axis string, at double, value double")
+    lines = spark.createDataFrame([("x", 11.5), ("x", 15.0), ("x", 30.0)], "axis string, px double")
+    got = [(r["px"], r["value"]) for r in figures.pair_ticks(labels, lines, "axis").orderBy("px").collect()]
+    assert got == [(11.5, 2.0), (30.0, 3.0)]
+
+
 def test_arms(spark):
     rows = [(11.0, None), (7.8, 4.8), (5.0, 4.9), (None, None), (0.5, 3.0)]
     df = spark.createDataFrame(rows, "u double, d double").select(figures.resolve_arms(F.col("u"), F.col("d"), F.lit(1.0)).alias("x")).select("x.*")
