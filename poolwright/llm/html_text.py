@@ -38,6 +38,10 @@ BOILER_NAMES = frozenset(
     "gdpr notice alert disclaimer newsletter subscribe subscription signup login paywall popup modal overlay comment comments reply replies respond "
     "disqus feedback search toolbar tags skip".split()
 )
+#: names that are of an article's own head inside an article
+HEAD_NAMES = frozenset("header masthead topbar".split())
+#: words that make a name one of several things: "tags-and-body", "post-with-sidebar"
+JOINING = frozenset("and with has plus".split())
 MAIN_NAMES = frozenset("article content main post entry story body text".split())
 
 _NAME = re.compile(r"[A-Za-z][a-z]*|[A-Z]+")
@@ -64,8 +68,8 @@ class _Cutter:
     blocks: list[Block] = field(default_factory=list)
     parts: list[str] = field(default_factory=list)
     linked: list[str] = field(default_factory=list)
-    #: open containers: (tag, boilerplate so far, main so far)
-    stack: list[tuple[str, bool, bool]] = field(default_factory=lambda: [("", False, False)])
+    #: open containers: (tag, boilerplate so far, main so far, boilerplate by its element and not by a name)
+    stack: list[tuple[str, bool, bool, bool]] = field(default_factory=lambda: [("", False, False, False)])
     leaf: str = ""
     link: bool = False
     #: elements from the outermost skipped one on, how many of each tag, and the same of those around it
@@ -110,7 +114,7 @@ class _Cutter:
             words = html_entities.unescape("".join(self.parts)).split()
             if words:
                 linked = len(html_entities.unescape(" ".join(self.linked)).split())
-                _, boiler, main = self.stack[-1]
+                _, boiler, main, _ = self.stack[-1]
                 self.blocks.append(Block(" ".join(words), len(words), min(linked, len(words)), boiler, main, self.leaf))
             self.parts.clear()
         self.linked.clear()
@@ -129,16 +133,24 @@ class _Cutter:
             self.leaf = tag
             return
         self.leaf = ""
-        _, boiler, main = self.stack[-1]
-        if tag in MAIN_TAGS:
-            self.stack.append((tag, boiler, True))
+        _, boiler, main, by_tag = self.stack[-1]
+        if tag in MAIN_TAGS:  # what a container around an article is called says nothing about the article
+            self.stack.append((tag, by_tag, True, by_tag))
             return
-        names = set()
+        named_boiler = named_main = False
         if attributes and tag not in ("html", "body"):
             for m in _ATTR.finditer(attributes):
-                names.update(x.lower() for x in _NAME.findall(m[2] or m[3] or m[4] or ""))
-        boiler = boiler or tag in BOILER_TAGS or (tag == "header" and not main) or bool(names & BOILER_NAMES)
-        self.stack.append((tag, boiler, main or bool(names & MAIN_NAMES) and not boiler))
+                for name in (m[2] or m[3] or m[4] or "").split():
+                    parts = {x.lower() for x in _NAME.findall(name)}
+                    if main:  # the head of an article is a part of it
+                        parts -= HEAD_NAMES
+                    if parts & BOILER_NAMES and not (parts & MAIN_NAMES and parts & JOINING):
+                        named_boiler = True
+                    elif parts & MAIN_NAMES:
+                        named_main = True
+        by_tag = by_tag or tag in BOILER_TAGS or (tag == "header" and not main)
+        boiler = boiler or by_tag or named_boiler
+        self.stack.append((tag, boiler, main or named_main and not boiler, by_tag))
 
     def close(self, tag: str) -> None:
         if tag == "a":
@@ -268,7 +280,7 @@ def _say(rng: random.Random, kind: str, least: int, most: int) -> str:
     return " ".join(f"{kind}{rng.randrange(900)}" for _ in range(rng.randint(least, most)))
 
 
-def labelled_pages(seed: int = 11, pages: int = 200) -> list[str]:
+def labelled_pages(seed: int = 11, pages: int = 400) -> list[str]:
     """Pages whose main text consists of words that start with c, and all other text of b."""
     rng = random.Random(seed)
     out = []
@@ -289,11 +301,15 @@ def labelled_pages(seed: int = 11, pages: int = 200) -> list[str]:
             p = _say(rng, "c", 1, 90)
             if rng.random() < 0.25:
                 p += f" <a href='#'>{_say(rng, 'c', 1, 3)}</a> {_say(rng, 'c', 6, 30)}"
+            elif rng.random() < 0.15:  # a paragraph that is mostly a link
+                p = f"<a href='#'>{_say(rng, 'c', 5, 25)}</a> {_say(rng, 'c', 1, 4)}"
             body.append(f"<{t}>{p}</{t}>" if (t := rng.choice(["p", "p", "p", "li", "h2", "blockquote"])) else "")
         shape = rng.random()
         if shape < 0.5:
             tag = rng.choice(["article", "main"])
-            inside = rng.choice(["", rng.choice(noise)])
+            # lists of links, named or not, stand in articles too
+            listed = f"<ul>{links(rng.randint(3, 8))}</ul>"
+            inside = rng.choice(["", rng.choice(noise), listed, f"<div>{listed}</div>"])
             main = f"<{tag}><h1>{_say(rng, 'c', 1, 12)}</h1>{''.join(body)}{inside}</{tag}>"
         elif shape < 0.75:
             main = f"<div class='{rng.choice(['content', 'post', 'entry-content', 'story'])}'><h1>{_say(rng, 'c', 1, 12)}</h1>{''.join(body)}</div>"
@@ -301,14 +317,15 @@ def labelled_pages(seed: int = 11, pages: int = 200) -> list[str]:
             main = "<div>" + "".join(f"<p>{_say(rng, 'c', 3, 90)}</p>" for _ in range(rng.randint(1, 6))) + "</div>"
         foot = rng.choice(["", "", f"<footer>{_say(rng, 'b', 3, 15)}</footer>", f"<div>{_say(rng, 'b', 1, 3)} <a href='#'>{_say(rng, 'b', 2, 7)}</a></div>", f"<div class='footer'><p>{_say(rng, 'b', 3, 15)}</p></div>"])
         if rng.random() < 0.15:  # hardly any markup
-            main = rng.choice(["<p>%s</p>", "%s", "<div>%s</div>"]) % _say(rng, "c", 1, 40)
+            linked = f"<p><a href='#'>{_say(rng, 'c', 5, 25)}</a> {_say(rng, 'c', 1, 4)}</p>"
+            main = rng.choice(["<p>%s</p>", "%s", "<div>%s</div>"]) % _say(rng, "c", 1, 40) if rng.random() < 0.6 else f"<article>{''.join(body[:2])}{linked}</article>"
             top, noise, foot = [""], [""], ""
         top, noise = ["", *top], ["", "", *noise]
         out.append(f"<html><body>{rng.choice(top)}{rng.choice(noise)}{main}{rng.choice(noise)}{foot}</body></html>")
     return out
 
 
-def labelled_blocks(seed: int = 11, pages: int = 200) -> tuple[list[list[float]], list[int]]:
+def labelled_blocks(seed: int = 11, pages: int = 400) -> tuple[list[list[float]], list[int]]:
     x, y = [], []
     for page in labelled_pages(seed, pages):
         blocks = cut_blocks(page)
@@ -366,7 +383,10 @@ def main_text(page: str | None, tree: Tree | None = None) -> str:
 
 
 def extract(pages: DataFrame, tree: Tree | None = None) -> DataFrame:
-    """page_id, url, text, n_chars of every page; a null or empty page has an empty text."""
+    """page_id, url, text, n_chars of every page; a null or empty page has an empty text.
+
+    Each row is judged on its own: repeated rows each get a row, other columns of pages are not read.
+    """
     tree = tree or trained_tree()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -120,6 +120,37 @@ def test_pages(spark):
     assert all(r["n_chars"] == len(r["text"]) for r in found)
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<div class='page with-sidebar'><article><h1>Head</h1><p>some body text that is here</p></article></div>", "Head\nsome body text that is here"),
+        ("<article><p><a href=x>a paragraph that is mostly one long link to read</a> and more</p></article>", "a paragraph that is mostly one long link to read and more"),
+        ("<article><div class='article-header'><h1>Headline of it</h1></div><p>the body of this article goes on</p></article>", "Headline of it\nthe body of this article goes on"),
+        ("<div class='tags-and-body'><p>the body text of this article goes on and on for a while</p></div>", "the body text of this article goes on and on for a while"),
+        ("<div class='post'><p>real text of the post goes on</p><div class='comment-body'><p>a comment by a reader</p></div></div>", "real text of the post goes on"),
+        ("<aside><article><p>another story</p></article></aside><main><p>the one story is this</p></main>", "the one story is this"),
+    ],
+)
+def test_whole_articles(page, text):
+    assert html_text.main_text(page) == text
+
+
+def test_features_by_hand():
+    page = "<nav><a href=x>one two</a></nav><main><h2>three</h2><p>four five <a href=y>six seven</a></p></main>"
+    blocks = html_text.cut_blocks(page)
+    assert [(b.text, b.words, b.link_words, b.boiler, b.main) for b in blocks] == [("one two", 2, 2, True, False), ("three", 1, 0, False, True), ("four five six seven", 4, 2, False, True)]
+    words = {(k, r[0], r[2], r[4]) for k, r in enumerate(html_text.features(blocks))}
+    density = {(k, r[1], r[3], r[5]) for k, r in enumerate(html_text.features(blocks))}
+    assert words == {(0, 2, 0, 1), (1, 1, 2, 4), (2, 4, 1, 0)} and density == {(0, 1, 0, 0), (1, 0, 1, 0.5), (2, 0.5, 0, 0)}
+
+
+def test_tree_looks_at_neighbours():
+    def used(tree):
+        return {tree[0]} | used(tree[2]) | used(tree[3]) if len(tree) > 1 else set()
+
+    assert used(html_text.trained_tree()) & {2, 3, 4, 5} and used(html_text.trained_tree()) & {0, 1}
+
+
 def test_tree_on_pages_it_has_not_seen():
     x, y = html_text.labelled_blocks(seed=77, pages=80)
     tree = html_text.trained_tree()
