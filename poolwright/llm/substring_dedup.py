@@ -20,11 +20,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_rows, encoded, gram_hashes, release, text_rows, word_hashes, words_of, written
+from .common import batch_rows, gram_hashes, release, text_rows, word_hashes, words_of, written
 
 SEED_WORDS = 5
 #: a document without an id is compared with all others as the last
@@ -55,69 +54,66 @@ def seed_of_windows(h: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]
     return grams, at[:n]
 
 
-def _digest(text: str | None) -> int:
-    return xxhash.xxh3_64_intdigest(encoded(text)) - 2**63
-
-
 def _signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
-def _seeds(window: int, with_text: bool):
+def _columns(parts: list[list], names: list[str]) -> pa.RecordBatch:
+    empty = np.empty(0, np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate([empty, *own])) for own in parts], names)
+
+
+def _seeds(window: int):
+    """Seeds of each row (d, r), each once."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seeds, docs, texts = [], [], []
-            for d, text in zip(batch["d"].to_pylist(), batch["text"].to_pylist(), strict=True):
+            seeds, ds, rs = [], [], []
+            for d, r, text in zip(*(batch[c].to_pylist() for c in ("d", "r", "text")), strict=True):
                 grams, at = seed_of_windows(word_hashes(words_of(text)), window)
                 if len(at):
-                    own = np.unique(grams[np.unique(at)])
+                    own = _signed(np.unique(grams[np.unique(at)]))
                     seeds.append(own)
-                    docs.append(np.full(len(own), _digest(text) if with_text else d, np.int64))
-            empty = np.empty(0, np.uint64)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(_signed(np.concatenate([empty, *seeds]))), pa.array(np.concatenate([empty.view(np.int64), *docs]))],
-                ["seed", "of"],
-            )
+                    ds.append(np.full(len(own), d, np.int64))
+                    rs.append(np.full(len(own), r, np.int64))
+            yield _columns([seeds, ds, rs], ["seed", "d", "r"])
 
     return run
 
 
 def _windows(window: int):
-    """Hashes of the windows whose seed is among the document's live ones."""
+    """Hashes of the windows whose seed is among the row's live ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found, docs = [], []
-            for d, text, live in zip(batch["d"].to_pylist(), batch["text"].to_pylist(), batch["seeds"], strict=True):
+            found, ds, rs = [], [], []
+            for d, r, text, live in zip(*(batch[c].to_pylist() for c in ("d", "r", "text")), batch["seeds"], strict=True):
                 h = word_hashes(words_of(text))
                 grams, at = seed_of_windows(h, window)
                 keep = np.isin(_signed(grams), live.values.to_numpy(zero_copy_only=False))[at] if len(at) else np.zeros(0, bool)
                 if keep.any():
-                    own = np.unique(gram_hashes(h, window)[keep])
+                    own = _signed(np.unique(gram_hashes(h, window)[keep]))
                     found.append(own)
-                    docs.append(np.full(len(own), d, np.int64))
-            empty = np.empty(0, np.uint64)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(_signed(np.concatenate([empty, *found]))), pa.array(np.concatenate([empty.view(np.int64), *docs]))],
-                ["window", "d"],
-            )
+                    ds.append(np.full(len(own), d, np.int64))
+                    rs.append(np.full(len(own), r, np.int64))
+            yield _columns([found, ds, rs], ["window", "d", "r"])
 
     return run
 
 
 def _cut(window: int):
-    """Remove the words of repeated windows; a text among the document's copies is removed whole."""
+    """Remove the words of repeated windows; a text that is a whole copy is removed whole."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
-            columns = (batch["doc_id"].to_pylist(), batch["text"].to_pylist(), batch["windows"], batch["copies"].to_pylist())
-            for doc_id, text, windows, copies in zip(*columns, strict=True):
+            columns = (batch["doc_id"].to_pylist(), batch["text"].to_pylist(), batch["windows"], batch["copied"].to_pylist())
+            for doc_id, text, windows, copied in zip(*columns, strict=True):
                 words = words_of(text)
                 n = len(words)
                 gone = np.zeros(n, bool)
                 if n >= window:
-                    if copies and _digest(text) in copies:
+                    if copied:
                         gone[:] = True
                     elif windows.is_valid and len(windows):
                         grams = gram_hashes(word_hashes(words), window)
@@ -147,45 +143,36 @@ def remove_repeats(docs: DataFrame, window: int = 13) -> DataFrame:
     """
     spark = docs.sparkSession
     batch_rows(spark, 1000)
-    rows = text_rows(docs).withColumn("d", F.coalesce("doc_id", F.lit(NO_ID)))
+    # a row is known by its doc_id and text, so that rows without an id do not all meet under one key
+    rows = text_rows(docs).withColumn("d", F.coalesce("doc_id", F.lit(NO_ID))).withColumn("r", F.xxhash64("text"))
+    row = ["d", "r"]
 
     # whole copies: all but the smallest doc_id of each text
-    digests = rows.mapInArrow(
-        lambda batches: (
-            pa.RecordBatch.from_arrays([b["d"], pa.array([_digest(t) for t in b["text"].to_pylist()], pa.int64())], ["d", "copy"]) for b in batches
-        ),
-        "d long, copy long",
-    )
-    digests = written(digests, "digests")
-    first = digests.groupBy("copy").agg(F.min("d").alias("first"), F.max("d").alias("last")).where("first < last")
-    copies = digests.join(first, "copy").where("d > first").select("d", "copy").distinct()
-    per_doc = digests.groupBy("d").agg(F.count("*").alias("rows")).join(
-        digests.join(first, "copy").where("d > first").groupBy("d").agg(F.count("*").alias("copied")), "d"
-    )
-    only_copies = written(per_doc.where("rows = copied").select("d"), "copies")
+    texts = written(rows.select(*row).distinct(), "texts")
+    first = texts.groupBy("r").agg(F.min("d").alias("first"), F.max("d").alias("last")).where("first < last")
+    copies = written(texts.join(first, "r").where("d > first").select(*row), "copies")
 
     # seeds that occur in different texts
-    seeds = rows.mapInArrow(_seeds(window, True), "seed long, of long")
-    live = seeds.groupBy("seed").agg(F.min("of").alias("a"), F.max("of").alias("b")).where("a < b").select("seed")
+    seeds = rows.mapInArrow(_seeds(window), "seed long, d long, r long")
+    live = seeds.groupBy("seed").agg(F.min("r").alias("a"), F.max("r").alias("b")).where("a < b").select("seed")
     live = written(live, "seeds")
     release(spark)
-    held = rows.mapInArrow(_seeds(window, False), "seed long, of long").withColumnRenamed("of", "d").join(live, "seed")
-    held = held.groupBy("d").agg(F.collect_list("seed").alias("seeds")).join(only_copies, "d", "left_anti")
+    held = seeds.join(live, "seed").groupBy(*row).agg(F.collect_set("seed").alias("seeds")).join(copies, row, "left_anti")
     held = written(held, "held")
     release(spark)
 
     # extended to windows, matched with the smallest doc_id that has them
-    windows = rows.join(held, "d").select("d", "text", "seeds").mapInArrow(_windows(window), "window long, d long")
+    windows = rows.join(held, row).select(*row, "text", "seeds").mapInArrow(_windows(window), "window long, d long, r long")
     windows = written(windows, "windows")
     release(spark)
     smallest = windows.groupBy("window").agg(F.min("d").alias("first"), F.max("d").alias("last")).where("first < last")
-    matches = windows.join(smallest, "window").where("d > first").groupBy("d").agg(F.collect_set("window").alias("windows"))
-    marks = matches.join(copies.groupBy("d").agg(F.collect_set("copy").alias("copies")), "d", "full_outer")
-    marks = written(marks, "marks")
+    matches = windows.join(smallest, "window").where("d > first").groupBy(*row).agg(F.collect_set("window").alias("windows"))
+    whole = copies.select(*row, F.lit(None).cast("array<long>").alias("windows"), F.lit(True).alias("copied"))
+    marks = written(matches.withColumn("copied", F.lit(False)).unionByName(whole), "marks")
     release(spark)
     return (
-        rows.join(marks, "d", "left")
-        .select("doc_id", "text", "windows", "copies")
+        rows.join(marks, row, "left")
+        .select("doc_id", "text", "windows", "copied")
         .mapInArrow(_cut(window), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
     )
 
