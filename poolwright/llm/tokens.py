@@ -25,8 +25,8 @@ import pyarrow.compute as pc
 CHUNK_ENTRIES = 400_000
 #: Lookups after which the share of misses decides whether a full cache starts anew.
 RENEW_AFTER = 2_000_000
-#: Rows and bytes of a batch of texts: the larger, the more chunks it has in common.
-BATCH_ROWS, BATCH_BYTES = 8_000, 24 << 20
+#: Rows and bytes of a batch of texts.
+BATCH_ROWS, BATCH_BYTES = 3_000, 8 << 20
 #: Longer pieces are encoded without being kept.
 KEPT_CHARS = 48
 #: Characters that go to the library in one call.
