@@ -5,17 +5,20 @@ characters other than white space. A text is therefore cut before each such spac
 chunk is encoded once and its ids are kept as little-endian unsigned 32-bit bytes, so that the ids
 of a text are one join of byte strings. The chunks that a batch of texts has and the cache has not
 go to the library together, as one string: ids that begin with a space, or that end a word, show where
-each one's ids are. Chunks of other than ASCII and Latin-1 characters go there one by one, and
+each one's ids are. With word ends, a pre-token has the same ids wherever it stands: such chunks are
+cut into pre-tokens, of which only those that the cache lacks go there, past the steps of the library
+that have been done by then; and texts are cut before line ends and most signs as well. Chunks of other than ASCII and Latin-1 characters go there one by one, and
 a text with the string of a special token goes there whole, as the library finds those before it
 looks at white space. The tests hold this against the library on whole texts.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections.abc import Sequence
-from itertools import pairwise
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +44,17 @@ _LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
 _SAFE = re.compile(rf"[!-~\n{_LETTER}]+")
 #: The published pre-token pattern of the vocabulary with word ends, over those characters.
 _WORD_LEVEL = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[0-9]|[^\s{_LETTER}0-9]+")
+#: Chunks that are one pre-token of it, and signs before which a letter ends one.
+_ONE = re.compile(rf"[{_LETTER}]+|[0-9]|[!-&(-/:-@\[-`{{-~]+")
+_WORD_END = "([a-z])([.,!?;:#$%&*)])"
+#: What a vocabulary file with word ends must say for that pattern to be its own.
+_WORD_SPLIT = {
+    "type": "Split",
+    "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"},
+    "behavior": "Removed",
+    "invert": True,
+}
+_WORD_NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
 #: in a text under work: where it is cut, and before its first chunk, which follows no space
 _SEP, _FIRST = "\x00", "\x02"
 
@@ -52,10 +66,18 @@ def _plain(text: str) -> bool:
     return not ("  " in text or " \n" in text or "\n " in text or text[0] == " " or text[-1] == " " or _ODD_SPACE.search(text))
 
 
+def _gathered(flat: np.ndarray, start: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """The runs of flat that begin at start and are many long, in a row."""
+    kind = np.int32 if max(len(flat), many.sum()) < 1 << 31 else np.int64
+    at = np.repeat((start - (np.cumsum(many) - many)).astype(kind), many)
+    at += np.arange(len(at), dtype=kind)
+    return flat[at]
+
+
 class ChunkTokenizer:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         added = self.tokenizer.get_added_tokens_decoder().values()
@@ -72,55 +94,104 @@ class ChunkTokenizer:
         self.lowers = self.tokenizer.encode("A", add_special_tokens=False).ids == self.tokenizer.encode("a", add_special_tokens=False).ids
         self.chunks: dict[str, bytes] = {"": b""}
         self.looked_up = self.missed = 0
+        #: the library without the steps that lead to pre-tokens; None where these are not the known ones
+        self.words_only = None
+        with open(path, encoding="utf-8") as file:
+            steps = json.load(file)
+        split, normal = (steps.get("pre_tokenizer") or {}).get("pretokenizers", []), (steps.get("normalizer") or {}).get("normalizers")
+        if self.word_ends.any() and split[:1] == [_WORD_SPLIT] and [x["type"] for x in split[1:]] == ["ByteLevel"] and normal == _WORD_NORMALIZERS:
+            self.words_only = Tokenizer.from_file(path)
+            self.words_only.normalizer = None
+            letters = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+            self.words_only.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), letters])
 
     def _library(self, piece: str) -> bytes:
         return np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _together(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of safe chunks, each after a space, in a row, and how many each has."""
-        ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(chunks)], add_special_tokens=False)[0].ids, "<u4")
-        if not self.word_ends.any():
+        if self.words_only:
+            ids = np.array(self.words_only.encode_batch_fast([" ".join(chunks)], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.flatnonzero(self.word_ends[ids]) + 1
+            if len(ends) == len(chunks):
+                return ids, np.diff(ends, prepend=0)
+        elif not self.word_ends.any():
+            ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(chunks)], add_special_tokens=False)[0].ids, "<u4")
             starts = np.flatnonzero(self.opens[ids])
-        else:
-            pretokens = np.cumsum([0, *(len(_WORD_LEVEL.findall(c.lower())) for c in chunks)])
-            starts = np.concatenate([[0], np.flatnonzero(self.word_ends[ids]) + 1])
-            starts = starts[pretokens[:-1]] if len(starts) == pretokens[-1] + 1 else starts[:0]
-        if len(starts) == len(chunks):
-            return ids, np.diff(starts, append=len(ids))
+            if len(starts) == len(chunks):
+                return ids, np.diff(starts, append=len(ids))
         own = [np.frombuffer(self._library(f" {c}"), "<u4") for c in chunks]  # no vocabulary of these two kinds
         return np.concatenate(own), np.array(list(map(len, own)), np.int64)
 
+    def _in_calls(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """As _together, in calls of bounded length."""
+        parts, many, at, held = [np.empty(0, "<u4")], [np.empty(0, np.int64)], 0, 0
+        for k, chunk in enumerate(chunks):
+            held += len(chunk) + 1
+            if held >= CALL_CHARS or k + 1 == len(chunks):
+                ids, n = self._together(chunks[at : k + 1])
+                parts.append(ids)
+                many.append(n)
+                at, held = k + 1, 0
+        return np.concatenate(parts), np.concatenate(many)
+
+    def _keep(self, pieces: list[str], ids: np.ndarray, many: np.ndarray) -> None:
+        """Put pieces with their ids, which stand in a row, into the cache while it has room."""
+        data, ends = ids.tobytes(), (np.cumsum(many) * 4).tolist()
+        room, at = CHUNK_ENTRIES - len(self.chunks), 0
+        for piece, end in zip(pieces[: max(0, room)], ends, strict=False):
+            if len(piece) <= KEPT_CHARS:
+                self.chunks[piece] = data[at:end]
+            at = end
+
+    def _by_words(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """As _in_calls, through the pre-tokens, of which the cache holds many."""
+        found = [_WORD_LEVEL.findall(c.lower()) for c in chunks]
+        coded = pa.array(chain.from_iterable(found), pa.large_string()).dictionary_encode()
+        words, index = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
+        known = [self.chunks.get(w) for w in words]
+        missing = [k for k, ids in enumerate(known) if ids is None]
+        new = [words[k] for k in missing]
+        ids, n = self._in_calls(new)
+        self._keep(new, ids, n)
+        held = [k or b"" for k in known]
+        length = np.fromiter(map(len, held), np.int64, len(held)) // 4
+        start, total = np.cumsum(length) - length, int(length.sum())
+        length[missing], start[missing] = n, total + np.cumsum(n) - n
+        ids = _gathered(np.concatenate([np.frombuffer(b"".join(held), "<u4"), ids]), start[index], length[index])
+        before = np.concatenate([[0], np.cumsum(length[index])])
+        ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))
+        return ids, np.diff(before[ends], prepend=0)
+
     def _pieces(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of distinct chunks: all of them in some order, where each one's start and how many it has."""
         known = [self.chunks.get(w) for w in words]
         missing = [k for k, ids in enumerate(known) if ids is None]
         self.missed += len(missing)
-        safe = []
+        one, safe = [], []
         for k in missing:
             w = words[k]
-            if _SAFE.fullmatch(w):
+            known[k] = b""
+            if self.words_only and _ONE.fullmatch(w):
+                one.append(k)
+            elif _SAFE.fullmatch(w):
                 safe.append(k)
-                known[k] = b""
             else:
                 known[k] = self._library(w[1:] if w[0] == _FIRST else f" {w}")
+                if len(w) <= KEPT_CHARS and len(self.chunks) < CHUNK_ENTRIES:
+                    self.chunks[w] = known[k]
         length = np.fromiter(map(len, known), np.int64, len(known)) // 4
-        start = np.cumsum(length) - length
-        parts, total = [np.frombuffer(b"".join(known), "<u4")], int(length.sum())
-        at, held = 0, 0
-        for k, i in enumerate(safe):
-            held += len(words[i]) + 1
-            if held >= CALL_CHARS or k + 1 == len(safe):
-                own = safe[at : k + 1]
-                ids, n = self._together([words[j] for j in own])
-                length[own], start[own] = n, total + np.cumsum(n) - n
-                parts.append(ids)
-                total += len(ids)
-                at, held = k + 1, 0
-        flat = np.concatenate(parts)
-        for k in missing[: max(0, CHUNK_ENTRIES - len(self.chunks))]:
-            if len(words[k]) <= KEPT_CHARS:
-                self.chunks[words[k]] = flat[start[k] : start[k] + length[k]].tobytes()
-        return flat, start, length
+        start, total = np.cumsum(length) - length, int(length.sum())
+        parts = [np.frombuffer(b"".join(known), "<u4")]
+        several = self._by_words if self.words_only else self._in_calls
+        for where, encode in ((one, lambda own: self._in_calls([w.lower() for w in own])), (safe, several)):
+            own = [words[k] for k in where]
+            ids, n = encode(own)
+            self._keep(own, ids, n)
+            length[where], start[where] = n, total + np.cumsum(n) - n
+            parts.append(ids)
+            total += len(ids)
+        return np.concatenate(parts), start, length
 
     def _marked(self, text: str | None) -> str | None:
         """The text with its cuts; None if it goes to the library whole."""
@@ -130,6 +201,8 @@ class ChunkTokenizer:
             return None
         if self.lowers and text.isascii() and not any(s in text.lower() for s in self.special):
             text = text.lower()
+        if self.words_only:  # any white space ends a pre-token and is gone after that
+            return text.replace(" ", _SEP).replace("\n", _SEP)
         return _FIRST + (text.replace(" ", _SEP) if _plain(text) else _CUT.sub(_SEP, text))
 
     def encode_all(self, texts: Sequence[str | None], end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -140,7 +213,10 @@ class ChunkTokenizer:
         if not len(texts):
             return np.empty(0, "<u4"), np.empty(0, np.int64)
         marked = [self._marked(t) for t in texts]
-        cut = pc.split_pattern(pa.array([m or "" for m in marked], pa.large_string()), _SEP)
+        cut = pa.array([m or "" for m in marked], pa.large_string())
+        if self.words_only:
+            cut = pc.replace_substring_regex(cut, _WORD_END, f"\\1{_SEP}\\2")
+        cut = pc.split_pattern(cut, _SEP)
         coded = cut.values.dictionary_encode()
         words, index = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         first = cut.offsets.to_numpy().astype(np.int64) - cut.offsets[0].as_py()
@@ -161,11 +237,7 @@ class ChunkTokenizer:
                 self.chunks = {"": b""}
             self.looked_up = self.missed = 0
         n = length[index]
-        kind = np.int32 if max(len(flat), n.sum()) < 1 << 31 else np.int64
-        at = np.repeat((start[index] - (np.cumsum(n) - n)).astype(kind), n)
-        at += np.arange(len(at), dtype=kind)
-        ids = flat[at]
-        return ids, np.add.reduceat(n, first[:-1])
+        return _gathered(flat, start[index], n), np.add.reduceat(n, first[:-1])
 
     def encode(self, text: str | None) -> list[int]:
         return self.encode_all([text])[0].tolist()

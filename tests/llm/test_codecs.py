@@ -66,13 +66,14 @@ def test_ids_of_documents(name):
     assert counts.tolist() == list(map(len, want)) and ids.tolist() == [i for w in want for i in w]
 
 
-def test_a_full_cache_changes_nothing(monkeypatch):
+@pytest.mark.parametrize("name", NAMES)
+def test_a_full_cache_changes_nothing(name, monkeypatch):
     monkeypatch.setattr("poolwright.llm.tokens.CHUNK_ENTRIES", 40)
     monkeypatch.setattr("poolwright.llm.tokens.RENEW_AFTER", 300)
-    tok = ChunkTokenizer(public_tokenizers.path(NAMES[0]))
+    tok = ChunkTokenizer(public_tokenizers.path(name))
     for k in range(30):
-        text = " ".join(f"w{k}x{i % 37} and" for i in range(60))
-        assert tok.encode(text) == LIBRARY[NAMES[0]].encode(text, add_special_tokens=False).ids
+        text = " ".join(f"w{k}x{i % 37}, and" for i in range(60))
+        assert tok.encode(text) == LIBRARY[name].encode(text, add_special_tokens=False).ids
     assert len(tok.chunks) <= 41
 
 
