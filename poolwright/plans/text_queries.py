@@ -40,11 +40,13 @@ def fold_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def title_ratio_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Likely duplicate titles: a block join on source and length class, a length bound, then the ratio."""
-    d = table(spark, sf_dir, "documents").select("doc_id", "source", t.normalise_title(F.substring("text", 1, 60)).alias("title"))
-    right = d.select(c("doc_id").alias("other"), "source", c("title").alias("title2"))
-    pairs = d.join(right, "source").where((c("doc_id") < c("other")) & (F.left("title", F.lit(4)) == F.left("title2", F.lit(4))) & (matching.length_bound(c("title"), c("title2")) >= 0.93))
-    return matching.possible_duplicates(pairs, t.matching_ratio(c("title"), c("title2"))).select("doc_id", "other", "ratio")
+    """Likely duplicate titles (a text's first sentence) of one source and near years, with their ratio."""
+    d = table(spark, sf_dir, "documents").select(
+        "doc_id", "source", t.normalise_title(F.regexp_extract("text", r"^[^.\n]*", 0)).alias("title"), (c("n_chars") % 4 + 2000).alias("year")
+    )
+    pairs = matching.near_title_pairs(d, "doc_id", "title", "year", "source")
+    found = matching.possible_duplicates(pairs, t.matching_ratio(c("title_a"), c("title_b")))
+    return found.select(c("a").alias("doc_id"), c("b").alias("other"), "ratio")
 
 
 @query(
