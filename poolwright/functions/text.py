@@ -15,8 +15,18 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# fixed values: spellings that are folded, British ending -> American ending
-SPELLINGS = (("isation", "ization"), ("ise", "ize"), ("our", "or"))
+# fixed values: British endings of a word and what they are folded to; the first that fits is used
+SPELLINGS = (
+    (r"^(.{3,})our(s|al|ally|able|ed|ing|ist|ite)?$", "$1or$2"),
+    (r"^(.{4,})is(e|ed|es|er|ers|ing|ation|ations)$", "$1iz$2"),
+    (r"^(.{3,})lys(e|ed|es|ing)$", "$1lyz$2"),
+)
+# fixed values: labels that publishers and archives put before a title, those of the second row with a sign behind them
+LABELS = r"author\s+manuscripts?|reply\s+to"
+NOTICES = r"correction|corrigendum|erratum|retraction|retracted(?:\s+article)?|editorial"
+NOTICE_END = r"(?:\s+(?:to|on|of|for|in))?\s*[:.-]"
+NOTE = r"\[[^\]]{0,160}\](?=\s*\S)"
+_LABEL = rf"^\s*(?:{NOTE}|{LABELS}|(?:{NOTICES}){NOTICE_END})\s*[:.-]?\s*"
 
 
 @F.pandas_udf(T.StringType())
@@ -37,17 +47,26 @@ def matching_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
+def without_labels(title: Column) -> Column:
+    """A lower-case title without brackets around the whole and labels in front, however many there are."""
+    # a turn that changes anything takes an opening bracket or a label away
+    turns = F.regexp_count(title, F.lit(rf"\[|{LABELS}|{NOTICES}")) + 1
+    turn = lambda text, _: F.regexp_replace(F.regexp_replace(text, r"^\s*\[([^\n]+)\]\s*$", "$1"), _LABEL, "")
+    return F.reduce(F.sequence(F.lit(1), turns), title, turn)
+
+
+def folded_spelling(word: Column) -> Column:
+    out = word
+    for pattern, to in reversed(SPELLINGS):
+        out = F.when(F.regexp_like(word, F.lit(pattern)), F.regexp_replace(word, pattern, to)).otherwise(out)
+    return out
+
+
 def normalise_title(title: Column) -> Column:
-    plain = F.trim(F.regexp_replace(F.regexp_replace(F.lower(fold_ascii(title)), "[^a-z0-9 ]", " "), " +", " "))
-    fold = lambda w: F.reduce(
-        F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in SPELLINGS]),
-        F.struct(w.alias("w"), F.lit(False).alias("done")),
-        lambda acc, s: F.when(acc["done"] | ~F.endswith(acc["w"], s["a"]) | (F.length(acc["w"]) <= F.length(s["a"]) + 2), acc).otherwise(
-            F.struct(F.concat(F.left(acc["w"], F.length(acc["w"]) - F.length(s["a"])), s["b"]).alias("w"), F.lit(True).alias("done"))
-        ),
-        lambda acc: acc["w"],
-    )
-    return F.array_join(F.transform(F.split(plain, " "), fold), " ")
+    """What titles are compared by: no labels, accents, case and punctuation, and one spelling."""
+    bare = without_labels(F.lower(fold_ascii(title)))
+    plain = F.trim(F.regexp_replace(F.regexp_replace(bare, "[^a-z0-9 ]", " "), " +", " "))
+    return F.array_join(F.transform(F.split(plain, " "), folded_spelling), " ")
 
 
 def normalise_doi(doi: Column) -> Column:

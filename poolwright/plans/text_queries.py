@@ -38,6 +38,26 @@ def fold_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.trim(F.regexp_replace(plain, " +", " ")).alias("title"))
 
 
+_SPELLED = " ".join(f"WHEN regexp_matches(w, '{pattern}') THEN regexp_replace(w, '{pattern}', '{to.replace('$', chr(92))}')" for pattern, to in t.SPELLINGS)
+
+
+@query(
+    rf"""WITH x AS (SELECT doc_id, regexp_extract(text, '^[^.\n]*') AS s FROM documents),
+    p AS (SELECT doc_id, trim(regexp_replace(regexp_replace(lower(regexp_replace(nfc_normalize(strip_accents(replace(s, 'ß', ''))), '[^\x00-\x7F]', '', 'g')), '[^a-z0-9 ]', ' ', 'g'), ' +', ' ', 'g')) AS title FROM x)
+    SELECT doc_id, array_to_string(list_transform(string_split(title, ' '), lambda w: CASE {_SPELLED} ELSE w END), ' ') AS title FROM p"""
+)
+def title_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First sentences under labels of six kinds; their keys are those of the sentences alone."""
+    s, k = F.regexp_extract("text", r"^[^.\n]*", 0), c("doc_id") % 6
+    bracketed = F.when(F.trim(s) == "", s)
+    labelled = (
+        F.when(k == 1, F.concat(F.lit("Correction: "), s)).when(k == 2, F.concat(F.lit("Author Manuscript "), s))
+        .when(k == 3, F.coalesce(bracketed, F.concat(F.lit("[Article in German] "), s))).when(k == 4, F.concat(F.lit("Erratum to: Author manuscripts: "), s))
+        .when(k == 5, F.coalesce(bracketed, F.concat(F.lit("[Retracted article. [Editorial - "), s, F.lit("]]")))).otherwise(s)
+    )
+    return table(spark, sf_dir, "documents").select("doc_id", t.normalise_title(labelled).alias("title"))
+
+
 @query()
 def title_ratio_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Likely duplicate titles (a text's first sentence) of one source and near years, with their ratio."""
