@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from poolwright.session import fresh_path, release, shared_dir, written  # noqa: F401
+from poolwright.session import discard, fresh_path, release, shared_dir, written  # noqa: F401
 
 #: ASCII white space, the separator of every "words" contract: [^\x20\x09-\x0D]+
 WORD = r"[^\x20\x09-\x0D]+"

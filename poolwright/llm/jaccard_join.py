@@ -7,9 +7,12 @@ Blocks say which nodes an inverted index holds together. Nodes of similar size s
 shingles into m parts by hash, with some parts more than the most shingles in which two linked sets
 of that size can differ. Linked sets then agree on several whole parts, so every node is listed under
 the hashes of its parts and linked nodes share a known number of keys at least. A node that shares
-fewer of its keys with others has no link and leaves, and with it what it shared; two rounds of this
-undo nearly all chance meetings. Nodes that the keys left connect are one block; no pair within a key
-is listed, only each node with the key's smallest one.
+fewer of its keys with others has no link and leaves, and with it what it shared, in two rounds.
+Of the keys left, those of few nodes list their pairs, and a pair counts if it shares that number
+of keys, where each key of many nodes is taken for shared. Keys of many nodes list no pairs: nodes that
+have that number of such keys alone are tied to the key's smallest one. Linked nodes are thus tied, and
+chance meetings, which are with another node in each key, are not, however many nodes there are. Nodes
+that are tied are one block.
 
 Search. Links are found by T-occurrence search alone: a block has an inverted list of nodes for each
 shingle, and a node links with those that stand in T of its lists, T being the overlap that the
@@ -24,18 +27,18 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from poolwright.operators.graph import connected_components
 
-from .common import batch_rows, encoded, gram_hashes, mix, release, shuffle_partitions, text_rows, trimmed, word_hashes, written
+from .common import batch_rows, discard, encoded, gram_hashes, mix, release, shuffle_partitions, text_rows, trimmed, word_hashes, written
 
 #: stands for a null doc_id; rows that share it are told apart by their sets
 NO_ID = 2**63 - 1
@@ -44,6 +47,12 @@ SPLITS = 6
 NEED = 1 << 20
 #: rounds in which nodes with too few shared keys leave
 PRUNINGS = 2
+#: shares of the keys that are shuffled one after the other, each from its own reading of the texts
+SLICES = 2
+#: bits of a key; equal ones only bring nodes together
+KEY_BITS = 40
+#: nodes of a key up to which its pairs are listed
+LISTED = 16
 #: cost of a look-up against that of merging an entry (the mu of DivideSkip)
 MU = 1.0
 #: entries of the short lists up to which they go over a heap
@@ -53,6 +62,7 @@ BROADCAST_ROWS = 100_000
 _PART = np.uint64(0xA24BAED4963EE407)
 _SIZE = np.uint64(0x9FB21C651E98DF25)
 _PREFIX = np.uint64(0xD6E8FEB86659FD93)
+c = F.col
 
 
 def needed_overlap(sizes: int | np.ndarray, percent: int) -> int | np.ndarray:
@@ -253,7 +263,9 @@ def _nodes(n: int):
     return run
 
 
-def _postings(n: int, percent: int):
+def _postings(n: int, percent: int, part: int, parts: int):
+    """Keys of one of the parts of all keys, with their nodes and tags."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # copies of a set within a task
         for batch in batches:
@@ -265,9 +277,10 @@ def _postings(n: int, percent: int):
                 if len(s) and (node := node_of(s)) not in seen:
                     seen.add(node)
                     own, tag = block_keys(s, percent)
-                    keys.append(own)
-                    nodes.append(np.full(len(own), node, np.int64))
-                    tags.append(tag)
+                    here = (own >> np.uint64(KEY_BITS)) % np.uint64(parts) == part
+                    keys.append(own[here] & np.uint64((1 << KEY_BITS) - 1))
+                    nodes.append(np.full(len(keys[-1]), node, np.int64))
+                    tags.append(tag[here])
             columns = [np.concatenate(keys).view(np.int64), np.concatenate(nodes), np.concatenate(tags)]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "node", "tag"])
 
@@ -321,29 +334,63 @@ def _search(percent: int):
     return run
 
 
+def _shared(rows: DataFrame, *more: Column) -> DataFrame:
+    """The rows of keys that two nodes have."""
+    key = Window.partitionBy("key")
+    ends = rows.select("*", F.min("node").over(key).alias("low"), F.max("node").over(key).alias("high"), *more)
+    return ends.where("low < high").drop("low", "high")
+
+
+def tied_nodes(rows: DataFrame, listed: int = LISTED) -> DataFrame:
+    """(a, b) that connect all nodes that share as many keys as their tags ask for.
+
+    rows: key, node, tag, many (nodes of the key). With `lots` keys of over `listed` nodes a node can share no more than
+    those beyond the keys whose pairs are listed.
+    """
+    own = Window.partitionBy("node", "tag")  # no more rows than a text has keys
+    rows = rows.select("key", "node", "tag", "many", F.count_if(c("many") > listed).over(own).alias("lots"))
+    stars = rows.where((c("many") > listed) & (c("lots") >= c("tag") % NEED))
+    centers = stars.groupBy("key").agg(F.min("node").alias("a"))
+    stars = stars.join(centers, "key").select("a", c("node").alias("b")).where("a < b").distinct()
+    few = rows.where(c("many") <= listed).select("key", "node", (c("tag").cast("long") * 2**32 + c("lots")).alias("asks"))
+    other = few.select("key", c("node").alias("b"), c("asks").alias("asks_b"))
+    met = few.join(other, "key").where("node < b").groupBy(c("node").alias("a"), "b", "asks", "asks_b").agg(F.count("*").alias("both"))
+    need = lambda asks: F.shiftright(asks, 32) % NEED
+    most = c("both") + F.least(c("asks") % 2**32, c("asks_b") % 2**32)
+    pairs = met.where(most >= F.greatest(need("asks"), need("asks_b"))).select("a", "b")
+    return stars.unionByName(pairs)
+
+
 def similar_nodes(docs: DataFrame, nodes: DataFrame, percent: int, n: int, chunk_shingles: int) -> DataFrame:
     """Verified links (a, b) between nodes; they connect all linked nodes."""
     spark = docs.sparkSession
-    # keys that several rows have (copies of a set too), then the nodes that share enough of theirs
-    postings = text_rows(docs).mapInArrow(trimmed(_postings(n, percent)), "key long, node long, tag int")
-    live = written(postings.groupBy("key").agg(F.count("*").alias("rows")).where("rows > 1").select("key"), "keys")
-    release(spark)
-    rows = written(postings.join(live, "key").distinct(), "postings")
-    release(spark)
-    own = Window.partitionBy("node", "tag")  # no more rows than a text has keys
+    # keys that several nodes have, then those of the nodes that share enough of theirs
+    slices = []
+    for k in range(SLICES):
+        postings = text_rows(docs).mapInArrow(trimmed(_postings(n, percent, k, SLICES)), "key long, node long, tag int")
+        slices.append(written(_shared(postings).distinct(), "postings"))
+        release(spark)
+    rows = reduce(DataFrame.unionByName, slices)
+    own = Window.partitionBy("node", "tag")
     for _ in range(PRUNINGS):
-        rows = rows.withColumn("have", F.count("*").over(own)).where(F.col("have") >= F.col("tag") % F.lit(NEED)).drop("have")
-        shared = rows.groupBy("key").agg(F.min("node").alias("center"), F.max("node").alias("other")).where("center < other")
-        rows = written(rows.join(shared.select("key", "center"), "key").select("key", "node", "tag", "center"), "postings")
+        kept = written(rows.withColumn("have", F.count("*").over(own)).where(c("have") >= c("tag") % NEED).select("key", "node", "tag"), "postings")
+        discard(*slices)
+        release(spark)
+        rows = written(_shared(kept, F.count("*").over(Window.partitionBy("key")).alias("many")), "postings")
+        discard(kept)
+        slices = [rows]
         release(spark)
-        members = rows.where("node <> center").select(F.col("center").alias("a"), F.col("node").alias("b")).distinct()
-        rows = rows.drop("center")
-    blocks = written(connected_components(members), "blocks").withColumnRenamed("component", "block")
+    members = written(tied_nodes(rows), "members")
+    discard(rows)
+    release(spark)
+    blocks = written(connected_components(members), "blocks")
+    discard(members)
     release(spark)
 
     # one document of each node; a block is one cell, or one for every two of its chunks
     reps = nodes.groupBy("node").agg(F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("d"), F.min("n_shingles").alias("size"))
-    placed = written(blocks.join(reps, "node"), "placed")
+    placed = written(blocks.withColumnRenamed("component", "block").join(reps, "node"), "placed")
+    discard(blocks)
     cuts = placed.groupBy("block").agg(F.ceil(F.sum("size") / F.lit(chunk_shingles)).cast("int").alias("cuts"))
     own = F.pmod(F.xxhash64("node"), "cuts").cast("int")
     others = F.filter(F.sequence(F.lit(0), F.col("cuts") - 1), lambda x: (x != F.col("own")) | (F.col("cuts") == 1))
@@ -354,6 +401,7 @@ def similar_nodes(docs: DataFrame, nodes: DataFrame, percent: int, n: int, chunk
         .select("block", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "d")
     )
     cells = written(cells, "cells")
+    discard(placed)
     texts = text_rows(docs).withColumn("d", F.coalesce("doc_id", F.lit(NO_ID)))
     few = cells.count() <= BROADCAST_ROWS
     found = texts.join(F.broadcast(cells) if few else cells, "d").select(*_CELL, "node", "text")
